@@ -45,12 +45,13 @@ def kth_smallest(df: DataFrame, c: str, rate: float) -> Column:
     """
     slack = 3.0 / ACCURACY
     s = df.agg(F.struct(
-        F.floor(F.count(F.lit(1)) * rate).alias("k"),
+        F.count(F.lit(1)).alias("n"), F.floor(F.count(F.lit(1)) * rate).alias("k"),
         F.percentile_approx(c, [max(0.0, rate - slack), min(1.0, rate + slack)], ACCURACY).alias("b"),
         F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
     d = df.select(F.col(c).alias("v"), s.alias("s"))
-    lo = F.col("s.lo") if rate <= slack else F.col("s.b")[0]
-    hi = F.col("s.hi") if rate >= 1 - slack else F.col("s.b")[1]
+    few = F.col("s.n") <= ACCURACY
+    lo = F.when(few | F.lit(rate <= slack), F.col("s.lo")).otherwise(F.col("s.b")[0])
+    hi = F.when(few | F.lit(rate >= 1 - slack), F.col("s.hi")).otherwise(F.col("s.b")[1])
     inside = d.filter(F.col("v") <= hi).groupBy(
         F.when(F.col("v") >= lo, F.col("v")).alias("v"), F.col("s.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

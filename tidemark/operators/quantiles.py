@@ -52,8 +52,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by:
         v = F.col(c).cast("double")
         v = F.when(~F.isnan(v), v)
         for i, q in enumerate(qs):
-            lo = bracket[c]["lo"] if q * accuracy <= 3 else F.element_at(bracket[c]["b"], 2 * i + 1)
-            hi = bracket[c]["hi"] if (1 - q) * accuracy <= 3 else F.element_at(bracket[c]["b"], 2 * i + 2)
+            # up to ``accuracy`` values are all counted; beyond, the slack is worth three ranks or more
+            few = bracket[c]["n"] <= accuracy
+            lo = F.when(few | F.lit(q * accuracy <= 3), bracket[c]["lo"]).otherwise(F.element_at(bracket[c]["b"], 2 * i + 1))
+            hi = F.when(few | F.lit((1 - q) * accuracy <= 3), bracket[c]["hi"]).otherwise(F.element_at(bracket[c]["b"], 2 * i + 2))
             items.append(F.when(v <= hi, F.struct(
                 F.lit(c).alias("column"), F.lit(float(q)).alias("q"), bracket[c]["n"].alias("n"),
                 F.when(v >= lo, v).alias("v"))))

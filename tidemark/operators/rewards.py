@@ -150,6 +150,9 @@ def settle_signs(rows: DataFrame, width: int) -> DataFrame:
     return work
 
 
+MADE = ("total_steps", "contradiction", "consistency", "reward")
+
+
 def shaped_reward(decisions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Add ``reward``: base, progress, consistency, contradiction, issue and skip terms, clamped to +-1.
 
@@ -157,7 +160,8 @@ def shaped_reward(decisions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
     nothing, so their record is spotless and needs no history of rewards; for skip and unknown actions the
     signs are settled first (:func:`settle_signs`).
     """
-    kept = decisions.columns
+    kept = [c for c in decisions.columns if c not in MADE]
+    decisions = decisions.select(*kept)
     action, issues = F.col("action_type"), F.col("issues")
     d = with_contradiction(with_total_steps(decisions), width=width).withColumns({
         "__before": base_reward(action) + progress_bonus(F.col("step"), F.col("total_steps")),
@@ -176,7 +180,8 @@ def shaped_reward(decisions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
 
 def repair_rewards(decisions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """:func:`shaped_reward` for the rows whose action is one of the six repairs - one lazy plan."""
-    kept = decisions.columns
+    kept = [c for c in decisions.columns if c not in MADE]
+    decisions = decisions.select(*kept)
     action, issues = F.col("action_type"), F.col("issues")
     d = with_contradiction(with_total_steps(decisions), width=width)
     d = with_consistency(d, F.lit(True), width=width)

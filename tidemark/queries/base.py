@@ -285,15 +285,15 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("v"), k.cast("string")).alias("version"),
         F.concat(F.lit("t"), F.lpad(F.pmod(k * 7919, F.lit(1000003)).cast("string"), 7, "0")).alias("timestamp"),
         level.alias("difficulty"), (F.col("p_size") * 10).cast("bigint").alias("epochs"),
-        F.round(F.col("p_retailprice") / 100, 2).alias("final_reward"),
-        F.round(F.col("p_retailprice") / 100 + F.col("p_size"), 2).alias("best_reward"),
+        (F.col("p_retailprice") / 100).alias("final_reward"),
+        (F.col("p_retailprice") / 100 + F.col("p_size")).alias("best_reward"),
         (k * 1024 + F.col("p_size")).cast("bigint").alias("file_size"))
 
 
 RUNS = """runs AS (
   SELECT 'v' || p_partkey AS version, 't' || lpad(((p_partkey * 7919) % 1000003)::VARCHAR, 7, '0') AS "timestamp",
     (['easy', 'medium', 'hard'])[(p_size % 3)::INT + 1] AS difficulty, (p_size * 10)::BIGINT AS epochs,
-    round(p_retailprice / 100, 2) AS final_reward, round(p_retailprice / 100 + p_size, 2) AS best_reward,
+    p_retailprice / 100 AS final_reward, p_retailprice / 100 + p_size AS best_reward,
     (p_partkey * 1024 + p_size)::BIGINT AS file_size FROM part)"""
 
 
