@@ -25,7 +25,8 @@ def with_truth(df: DataFrame) -> DataFrame:
 
 
 def _noted(hit: Column, issue: str) -> Column:
-    return F.when(hit, F.array_append(F.col(TRUTH), F.lit(issue))).otherwise(F.col(TRUTH))
+    # one reference to the column: a long chain of injections stays small when filters move through it
+    return F.concat(F.col(TRUTH), F.when(hit, F.array(F.lit(issue))).otherwise(F.array().cast("array<string>")))
 
 
 def _hits(df: DataFrame, rate: float, op: str, column: str, seed: int, key: str, exact: bool) -> tuple[DataFrame, Column]:
@@ -60,12 +61,12 @@ def kth_smallest(df: DataFrame, c: str, rate: float) -> Column:
 
 
 def _change(df: DataFrame, op: str, column: str, rate: float, seed: int, key: str, exact: bool, issue: str,
-            new: Callable[[Column], Column], applies: Column | None = None) -> DataFrame:
-    """Replace the cell where hit; the issue is noted where the cell was really changed."""
+            new: Callable[[Column], Column], always: bool = False) -> DataFrame:
+    """Replace the cell where hit, empty cells only if ``always``; the issue is noted for the cells replaced."""
     base = df.columns
     d, hit = _hits(df, rate, op, column, seed, key, exact)
     c = F.col(column)
-    hit = hit & c.isNotNull() if applies is None else hit & applies
+    hit = hit if always else hit & c.isNotNull()
     return d.withColumns({
         TRUTH: _noted(hit, issue),
         column: F.when(hit, new(c).cast(df.schema[column].dataType)).otherwise(c),
@@ -105,7 +106,7 @@ def inject_outliers(df: DataFrame, rate: float, values=None, seed: int = 42, key
         if c in df.columns:
             out = _change(out, "outlier", c, rate * 0.3, seed, key, exact, f"outlier:{c}",
                           lambda x, o=options, c=c: pick(o, F.lit(str(seed)), F.lit("outlier_value"), F.lit(c), F.col(key)),
-                          applies=F.lit(True))
+                          always=True)
     return out
 
 
@@ -220,12 +221,23 @@ def shuffle_rows(df: DataFrame, seed: int = 42, key: str = "row_id", name: str =
     return with_rank(h, [], "__h", width=width * 2**8, name="__new").withColumn(name, F.col("__new")).drop("__h", "__new")
 
 
-def score_detector(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per issue kind from two long tables (row_id, kind, column)."""
+def score_detector(df: DataFrame, truth: str = TRUTH, found: str = "issues") -> DataFrame:
+    """Precision, recall and F1 per issue kind from two issue arrays of the same row: no exchange but the counts."""
+    flags = F.transform(F.array_union(truth, found), lambda x: F.struct(
+        F.split_part(x, F.lit(":"), F.lit(1)).alias("kind"), F.array_contains(F.col(truth), x).cast("int").alias("t"),
+        F.array_contains(F.col(found), x).cast("int").alias("f")))
+    return _detector_rates(df.select(F.inline(flags)))
+
+
+def score_detector_tables(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """The same from two long tables (row_id, kind, column)."""
     cols = ["row_id", "kind", "column"]
     both = truth.select(*cols, F.lit(1).alias("t"), F.lit(0).alias("f")).unionByName(
         found.select(*cols, F.lit(0).alias("t"), F.lit(1).alias("f")))
-    cells = both.groupBy(*cols).agg(F.max("t").alias("t"), F.max("f").alias("f"))
+    return _detector_rates(both.groupBy(*cols).agg(F.max("t").alias("t"), F.max("f").alias("f")))
+
+
+def _detector_rates(cells: DataFrame) -> DataFrame:
     k = cells.groupBy("kind").agg(
         F.count_if((F.col("t") == 1) & (F.col("f") == 1)).alias("hits"),
         F.sum("t").alias("in_truth"), F.sum("f").alias("in_found"))

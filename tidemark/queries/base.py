@@ -53,7 +53,10 @@ SEGMENT_DEPT = {"AUTOMOBILE": "engineering", "BUILDING": "sales", "FURNITURE": "
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer")
+    return people_of(table(spark, sf, "customer"))
+
+
+def people_of(c: DataFrame) -> DataFrame:
     dept = F.create_map(*[F.lit(x) for kv in SEGMENT_DEPT.items() for x in kv])
     domains = F.array(*[F.lit(d) for d in vocab.EMAIL_DOMAINS])
     return c.select(
@@ -199,18 +202,21 @@ DECISION_ISSUES = [(0.4, "missing:age"), (0.2, "duplicate:row"), (0.2, "outlier:
 
 
 def decisions(spark: SparkSession, sf: str, steps: bool = True) -> DataFrame:
-    e = table(spark, sf, "events")
+    d = decisions_of(table(spark, sf, "events"))
+    return with_rank(d, ["episode"], "row_id", name="step") if steps else d
+
+
+def decisions_of(e: DataFrame) -> DataFrame:
     action = F.create_map(*[F.lit(x) for kv in EVENT_ACTION.items() for x in kv])
     agent = F.create_map(*[F.lit(x) for kv in ACTION_AGENT.items() for x in kv])
     issues = F.array_compact(F.array(*[
         F.when(gate(r, F.lit(SEED), F.lit("issue"), F.lit(i), F.col("event_id")), F.lit(i)) for r, i in DECISION_ISSUES]))
-    d = e.select(
+    return e.select(
         F.col("event_id").alias("row_id"), F.col("user_id").alias("episode"), F.col("ts"),
         action[F.col("event_type")].alias("action_type"), agent[action[F.col("event_type")]].alias("agent"),
         F.get(F.array(*[F.lit(c) for c in DECISION_COLUMNS]), F.pmod("event_id", F.lit(4)).cast("int")).alias("column"),
         F.round((F.col("value") - 50) / 100, 4).alias("reward"),
         (F.pmod(F.col("event_id") * 7, F.lit(100)) / 100.0).alias("confidence"), issues.alias("issues"))
-    return with_rank(d, ["episode"], "row_id", name="step") if steps else d
 
 
 _act_case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ACTION.items()) + " END"
@@ -257,7 +263,10 @@ jobs AS (SELECT *, CASE WHEN status = 'completed' THEN started_at + to_seconds((
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem")
+    return audit_of(table(spark, sf, "lineitem"))
+
+
+def audit_of(l: DataFrame) -> DataFrame:
     action = F.when(F.col("l_returnflag") == "A", "fill_missing").when(F.col("l_returnflag") == "N", "fix_category").otherwise("skip")
     agent = F.when(F.col("l_returnflag") == "A", "FillMissingAgent").when(F.col("l_returnflag") == "N", "CategoryStandardizer").otherwise("SkipAgent")
     return l.select(

@@ -89,14 +89,23 @@ def make_episodes(spark, sf):
     return d.select("row_id", "episode", "age", "salary", "score", "name", "dept", "email", F.array_join("issues", ",").alias("issues"))
 
 
-@query("score_detector", f"""WITH {B.DIRTY}, {B.ISSUES}, t AS (SELECT DISTINCT row_id, unnest(truth) AS i FROM dirty), f AS (SELECT row_id, unnest(issues) AS i FROM found),
+SCORED = f"""WITH {B.DIRTY}, {B.ISSUES}, t AS (SELECT DISTINCT row_id, unnest(truth) AS i FROM dirty), f AS (SELECT row_id, unnest(issues) AS i FROM found),
   j AS (SELECT split_part(coalesce(t.i, f.i), ':', 1) AS kind, t.i IS NOT NULL AS in_t, f.i IS NOT NULL AS in_f FROM t FULL JOIN f ON t.row_id = f.row_id AND t.i = f.i),
   k AS (SELECT kind, count(*) FILTER (in_t AND in_f) AS hits, count(*) FILTER (in_t) AS in_truth, count(*) FILTER (in_f) AS in_found FROM j GROUP BY 1),
   p AS (SELECT *, CASE WHEN in_found > 0 THEN hits / in_found::DOUBLE ELSE 0 END AS p, CASE WHEN in_truth > 0 THEN hits / in_truth::DOUBLE ELSE 0 END AS r FROM k)
-  SELECT kind, hits, in_truth, in_found, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p""")
+  SELECT kind, hits, in_truth, in_found, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p"""
+
+
+@query("score_detector", SCORED)
 def score_detector(spark, sf):
+    s = I.score_detector(found(spark, sf))
+    return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("score_detector_tables", SCORED)
+def score_detector_tables(spark, sf):
     f = found(spark, sf)
-    s = I.score_detector(explode_issues(f, "truth"), explode_issues(f))
+    s = I.score_detector_tables(explode_issues(f, "truth"), explode_issues(f))
     return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 

@@ -119,7 +119,8 @@ def dataset_catalog(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
 
 
 def write_report_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

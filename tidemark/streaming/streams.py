@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import vocab
@@ -29,6 +30,13 @@ def run_available(sdf: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
 
 
+def with_event_time(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermark on ``ts``; timestamps without a zone are taken in the session's zone."""
+    if isinstance(sdf.schema[ts].dataType, T.TimestampNTZType):
+        sdf = sdf.withColumn(ts, F.col(ts).cast("timestamp"))
+    return sdf.withWatermark(ts, delay)
+
+
 def stream_clean(sdf: DataFrame, plan: str = "hard", rules: Sequence[Rule] | None = None) -> DataFrame:
     """Issues found, then the stateless steps of the plan - the same columns as in batch."""
     found = detect_issues(sdf, people_rules(sdf) if rules is None else rules)
@@ -37,7 +45,7 @@ def stream_clean(sdf: DataFrame, plan: str = "hard", rules: Sequence[Rule] | Non
 
 def stream_dedupe(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
     """Drop re-arrivals within the delay; rows later than the watermark are dropped."""
-    return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    return with_event_time(sdf, ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def window_quality(df: DataFrame, ts: str, value: str, window: str, slide: str | None = None,
@@ -55,7 +63,7 @@ def window_quality(df: DataFrame, ts: str, value: str, window: str, slide: str |
 
 def stream_quality(sdf: DataFrame, ts: str, value: str, window: str, delay: str = "10 minutes",
                    slide: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    return window_quality(sdf.withWatermark(ts, delay), ts, value, window, slide, by)
+    return window_quality(with_event_time(sdf, ts, delay), ts, value, window, slide, by)
 
 
 def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vocab.HISTORY_LENGTH) -> StreamingQuery:
@@ -77,7 +85,6 @@ def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vo
 
 
 def newest(rows: DataFrame, n: int) -> DataFrame:
-    from pyspark.sql import Window
     r = F.row_number().over(Window.partitionBy("agent").orderBy(F.col("row_id").desc()))
     return rows.withColumn("__r", r).filter(F.col("__r") <= n).drop("__r")
 
@@ -96,7 +103,7 @@ def stream_audit(sdf: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def stream_sessions(sdf: DataFrame, key: str, ts: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    g = sdf.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("events"))
+    g = with_event_time(sdf, ts, delay).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("events"))
     return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
 
