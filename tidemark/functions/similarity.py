@@ -7,26 +7,45 @@ the one piece of row-wise Python, fed in Arrow batches and only with pairs that
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
-@lru_cache(maxsize=200_000)
-def matching_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def matcher() -> Callable[[], Callable[[str, str], float]]:
+    """Gives a maker of ratio functions that remember what they have seen.
+
+    The maker is a local function, so it travels to the tasks by value and nothing of this package has to
+    be installed there.
+    """
+    def make() -> Callable[[str, str], float]:
+        seen: dict[tuple[str, str], float] = {}
+
+        def ratio(a: str, b: str) -> float:
+            if a == b:
+                return 1.0
+            found = seen.get((a, b))
+            if found is None:
+                found = seen[a, b] = SequenceMatcher(None, a, b).ratio()
+            return found
+
+        return ratio
+
+    return make
 
 
-def ratio_udf():
-    """Arrow-batched UDF over two text columns; equal texts never reach the matcher."""
+def ratio_udf(lower_first: bool = False):
+    """Arrow-batched UDF over two text columns (the first in lower case if asked for)."""
+    make = matcher()
 
     @F.pandas_udf(T.DoubleType())
     def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        ratio = make()
         return pd.Series(
-            [None if x is None or y is None else 1.0 if x == y else matching_ratio(x, y) for x, y in zip(a, b)],
+            [None if x is None or y is None else ratio(x.lower() if lower_first else x, y) for x, y in zip(a, b)],
             dtype="float64",
         )
 
@@ -51,20 +70,24 @@ def edit_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / total)
 
 
+def within_edits(a: Column, b: Column, threshold: float) -> Column:
+    """``edit_bound(a, b) >= threshold``, with the distance computed only as far as it matters."""
+    allowed = F.floor((1.0 - threshold + 1e-9) * (F.length(a) + F.length(b))).cast("int")
+    return F.call_function("levenshtein", a, b, allowed) >= 0
+
+
 def char_tokens(c: Column) -> Column:
     """Each character with its running number among equal characters, late repeats first.
 
     Two strings share exactly as many tokens as their character bags overlap, which bounds M. Any
     fixed order is right for prefix filtering; late repeats are the rarer tokens.
     """
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    numbered = F.transform(
-        chars,
-        lambda x, i: F.struct(
-            (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x))).alias("nth"), x.alias("ch")
-        ),
-    )
-    return F.array_sort(numbered)
+    def numbered(x: Column, i: Column) -> Column:
+        so_far = F.substring(c, F.lit(1), i + 1)
+        nth = F.length(so_far) - F.length(F.replace(so_far, x, F.lit("")))
+        return F.struct((-nth).alias("nth"), x.alias("ch"))
+
+    return F.array_sort(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), numbered))
 
 
 def prefix_tokens(c: Column, threshold: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions import predicates as P
-from tidemark.functions.similarity import edit_bound, length_bound, matching_ratio
+from tidemark.functions.similarity import length_bound, matcher, within_edits
 from tidemark.operators.quantiles import attach_quantiles
 from tidemark.operators.segments import null_safe, with_rank
 
@@ -123,16 +123,18 @@ def fuzzy_category(c: Column, known: Sequence[str], threshold: float = vocab.FUZ
     text = P.strip(F.lower(c))
     near = F.filter(
         F.array(*[F.lit(k) for k in known]),
-        lambda k: (length_bound(text, k) >= threshold - 1e-9) & (edit_bound(text, k) >= threshold - 1e-9),
+        lambda k: (length_bound(text, k) >= threshold - 1e-9) & within_edits(text, k, threshold),
     )
     todo = F.when(~text.isin(known) & (F.size(near) > 0), F.concat_ws("\x00", text, near))
 
+    make = matcher()
+
     @F.pandas_udf(T.StringType())
     def best_match(s: pd.Series) -> pd.Series:
-        best = {}
+        best, ratio = {}, make()
         for packed in s.dropna().unique():
             value, *options = packed.split("\x00")
-            ratios = [matching_ratio(value, o) for o in options]
+            ratios = [ratio(value, o) for o in options]
             top = max(ratios)
             best[packed] = options[ratios.index(top)] if top >= threshold else None
         return s.map(best).astype(object).where(s.notna(), None)

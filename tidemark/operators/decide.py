@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions import predicates as P
 from tidemark.functions.scalars import any_issue, clamp, fixed_length
-from tidemark.functions.similarity import matching_ratio
+from tidemark.functions.similarity import ratio_udf
 from tidemark.operators.clean import category_lookup, fuzzy_category
 from tidemark.operators.detect import can_handle
 
@@ -90,15 +89,6 @@ def outlier_specialist(df: DataFrame, issues: Column, legal: Column | None = Non
                       can_handle("OutlierHandler", issues), ("outlier",))
 
 
-def _lower_ratio(original: Column, fixed: Column) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def lower_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else matching_ratio(x.lower(), y) for x, y in zip(a, b)],
-                         dtype="float64")
-
-    return lower_ratio(original, fixed)
-
-
 def category_specialist(df: DataFrame, issues: Column, legal: Column | None = None, fuzzy: bool = True,
                         columns: Sequence[str] = ("dept", "name", "email")) -> Specialist:
     """Closest known value of the first category column that differs from it.
@@ -113,7 +103,7 @@ def category_specialist(df: DataFrame, issues: Column, legal: Column | None = No
         text = F.when(flagged, F.col(c))
         fixed = fuzzy_category(text, vocab.KNOWN_CATEGORIES[c]) if fuzzy else category_lookup(text)
         hit = flagged & F.coalesce(fixed != F.col(c), F.lit(False))
-        conf = _lower_ratio(F.when(hit, F.col(c)), F.when(hit, fixed)) if fuzzy else F.lit(1.0)
+        conf = ratio_udf(lower_first=True)(F.when(hit, F.col(c)), F.when(hit, fixed)) if fuzzy else F.lit(1.0)
         p = _proposal("fix_category", c, fixed)
         proposal = F.when(hit, p) if proposal is None else proposal.when(hit, p)
         confidence = F.when(hit, conf) if confidence is None else confidence.when(hit, conf)

@@ -114,39 +114,62 @@ def settle_signs(rows: DataFrame, width: int) -> DataFrame:
     ``width`` rows and the history in front of them.
     """
     work = cut(rows, "signs")
-    names = work.columns
-    schema = work.schema
+    names, schema, lookback = work.columns, work.schema, vocab.HISTORY_LENGTH
+    keys = ["episode", "action_type", "__piece"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
+    def fold_piece(piece: dict[str, list]) -> tuple[list[bool], list[bool]]:
         recent: deque = deque()
         n_lo = n_hi = 0
         lows, highs = [], []
-
-        def total(row, successes):
-            share = successes / len(recent) if recent else 0.0
-            bonus = 0.1 if share >= 0.8 else 0.05 if share >= 0.6 else 0.0
-            return row.before + bonus + row.contradiction + row.issue + row.skip > 0
-
-        cols = ["step", "before", "contradiction", "issue", "skip", "lo", "hi", "guest"]
-        for row in pdf.rename(columns=lambda c: c.lstrip("_"))[cols].itertuples(index=False):
-            while recent and recent[0][0] < row.step - vocab.HISTORY_LENGTH:
-                _, lo, hi = recent.popleft()
-                n_lo, n_hi = n_lo - lo, n_hi - hi
-            if row.guest or row.lo == row.hi:
-                lo, hi = row.lo, row.hi
-            else:
-                lo, hi = total(row, n_lo), total(row, n_hi)
-            lows.append(bool(lo))
-            highs.append(bool(hi))
-            recent.append((row.step, bool(lo), bool(hi)))
-            n_lo, n_hi = n_lo + bool(lo), n_hi + bool(hi)
-        out = pdf.assign(__lo=lows, __hi=highs)
-        return out.loc[~out["__guest"], names]
+        for step, before, clash, issue, skip, lo, hi, guest in zip(*piece.values()):
+            while recent and recent[0][0] < step - lookback:
+                _, was_lo, was_hi = recent.popleft()
+                n_lo, n_hi = n_lo - was_lo, n_hi - was_hi
+            if lo != hi and not guest:
+                signs = []
+                for successes in (n_lo, n_hi):
+                    share = successes / len(recent) if recent else 0.0
+                    bonus = 0.1 if share >= 0.8 else 0.05 if share >= 0.6 else 0.0
+                    signs.append(before + bonus + clash + issue + skip > 0)
+                lo, hi = signs
+            lows.append(lo)
+            highs.append(hi)
+            recent.append((step, lo, hi))
+            n_lo, n_hi = n_lo + lo, n_hi + hi
+        return lows, highs
+
+    def fold(batches):
+        """Pieces arrive whole and in order; a piece is folded once its last row is in, so a task keeps one."""
+        cols = ["step", "__before", "contradiction", "__issue", "__skip", "__lo", "__hi", "__guest"]
+        held: list[pd.DataFrame] = []
+
+        def fold_all(pdf: pd.DataFrame) -> pd.DataFrame:
+            lows, highs = [], []
+            for _, part in pdf.groupby(keys, sort=False, dropna=False):
+                lo, hi = fold_piece({c: part[c].tolist() for c in cols})
+                lows += lo
+                highs += hi
+            out = pdf.assign(__lo=lows, __hi=highs)
+            return out.loc[~out["__guest"], names]
+
+        for pdf in batches:
+            pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf
+            last = pdf[keys].iloc[-1] if len(pdf) else None
+            if last is None:
+                continue
+            same = True
+            for k in keys:
+                same = same & ((pdf[k] == last[k]) | (pdf[k].isna() & pd.isna(last[k])))
+            held = [pdf[same]]
+            if not same.all():
+                yield fold_all(pdf[~same].reset_index(drop=True))
+        if held:
+            yield fold_all(held[0].reset_index(drop=True))
 
     while not work.filter(F.col("__lo") != F.col("__hi")).isEmpty():
-        pieces = spread(work, "step", vocab.HISTORY_LENGTH, 0, width)
-        work = cut(pieces.groupBy("episode", "action_type", "__piece").applyInPandas(fold, schema), "signs")
+        pieces = spread(work, "step", lookback, 0, width)
+        ordered = pieces.repartition(*keys).sortWithinPartitions(*keys, "step")
+        work = cut(ordered.mapInPandas(fold, schema), "signs")
     return work
 
 

@@ -152,7 +152,7 @@ def name_block():
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, sf):
     d = B.dirty(spark, sf, "medium").filter(F.col("name").isNotNull())
-    return Z.fuzzy_duplicates(d, ["email", "name"], name_block(), threshold=0.95)
+    return Z.fuzzy_duplicates(d, ["email", "name"], name_block(), threshold=0.97)
 
 
 @query("candidate_pairs")
