@@ -16,19 +16,26 @@ from tidemark.operators.segments import null_safe
 
 def apply_actions(df: DataFrame, actions: DataFrame, keys: Sequence[str] = ("name", "email"),
                   row_id: str = "row_id") -> DataFrame:
-    """Carry out (row_id, action_type, column, value) on the rows; rows without an action are skipped.
+    """Carry out (row_id, action_type, column, value) on the rows; rows without an action are skipped."""
+    act = actions.select(F.col(row_id).alias("__rid"), F.struct("action_type", "column", "value").alias("__action"))
+    j = df.join(act, df[row_id] == act["__rid"], "left").drop("__rid")
+    return apply_decisions(j, "__action", df.columns, keys, row_id)
 
-    Adds action_type, column, old_value, new_value, took_effect, removed and reward. A row whose action is
-    remove_duplicate goes if an earlier row, after its own action, has the same keys. Only those rows
-    meet the key table, which holds one pre-aggregated row per key.
+
+def apply_decisions(df: DataFrame, action: str, columns: Sequence[str], keys: Sequence[str] = ("name", "email"),
+                    row_id: str = "row_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Carry out the action (struct action_type, column, value) that stands beside each row.
+
+    Gives the columns with action_type, column, old_value, new_value, took_effect, removed and reward, and
+    the ``carry`` columns as they are. A row whose action is remove_duplicate goes if an earlier row, after
+    its own action, has the same keys. Only those rows meet the key table, which holds one pre-aggregated
+    row per key; decisions made on the same frame need no join at all.
     """
-    act = actions.select(
-        F.col(row_id).alias("__rid"), F.col("action_type").alias("__act"), F.col("column").alias("__col"),
-        F.col("value").alias("__val"))
-    j = df.join(act, df[row_id] == act["__rid"], "left").drop("__rid").withColumn(
-        "__act", F.coalesce("__act", F.lit("skip")))
+    j = df.withColumns({
+        "__act": F.coalesce(F.col(f"{action}.action_type"), F.lit("skip")),
+        "__col": F.col(f"{action}.column"), "__val": F.col(f"{action}.value")})
     new, effects, old_text, new_text = {}, F.lit(False), None, None
-    for f in df.schema.fields:
+    for f in df.select(*columns).schema.fields:
         if f.name == row_id:
             continue
         c = F.col(f.name)
@@ -54,7 +61,7 @@ def apply_actions(df: DataFrame, actions: DataFrame, keys: Sequence[str] = ("nam
         n = new[f.name].cast("string")
         new_text = F.when(here, n) if new_text is None else new_text.when(here, n)
     done = j.select(
-        row_id, *[v.alias(n) for n, v in new.items()],
+        row_id, *[v.alias(n) for n, v in new.items()], *carry,
         *[F.col(k).alias(f"__raw_{k}") for k in keys],
         F.col("__act").alias("action_type"), F.col("__col").alias("column"),
         old_text.alias("old_value"), new_text.alias("new_value"), effects.alias("took_effect"))
@@ -66,7 +73,7 @@ def apply_actions(df: DataFrame, actions: DataFrame, keys: Sequence[str] = ("nam
     removed = F.col("__gone").isNotNull()
     effect = F.when(F.col("action_type") == "remove_duplicate", removed).otherwise(F.col("took_effect"))
     return out.select(
-        *df.columns, "action_type", "column", "old_value", "new_value", effect.alias("took_effect"),
+        *columns, *carry, "action_type", "column", "old_value", "new_value", effect.alias("took_effect"),
         removed.alias("removed"), step_reward(F.col("action_type"), effect).alias("reward"))
 
 

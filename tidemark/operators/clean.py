@@ -183,30 +183,39 @@ def cap_outlier(df: DataFrame, c: str, k: float = 1.5, by: Sequence[str] = ()) -
     return out.withColumn(c, clipped).select(*df.columns)
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
-    """Lowest ``order`` of every key (NULLs equal): partial aggregates fold copies before the shuffle."""
-    return df.groupBy(*keys).agg(F.min(order).alias(order))
+def repeated_keys(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
+    """The keys that occur more than once (NULLs equal), with the order value ``__first`` of their first row.
+
+    Partial aggregates fold copies before the exchange, so a key that holds a third of the table costs one
+    row per task; keys without copies are dropped, so the result is as small as the duplication.
+    """
+    counted = df.groupBy(*keys).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    return counted.filter(F.col("__n") > 1).drop("__n")
+
+
+def _with_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    # one row per key on the right: broadcast when small, else a merge join whose hot keys are split at run time
+    return null_safe(df, repeated_keys(df, keys, order), keys, "left")
 
 
 def drop_duplicates_on(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
-    """Keep the first row of every key. The survivors come back by their unique order value, so the
-    size of a group of copies does not matter to any task."""
-    return df.join(first_rows(df, keys, order).select(order), order, "left_semi")
+    """Keep the first row of every key."""
+    first = F.col("__first").isNull() | (F.col(order) == F.col("__first"))
+    return _with_first(df, keys, order).filter(first).drop("__first")
 
 
 def flag_duplicates(df: DataFrame, keys: Sequence[str] | None = None, order: str = "row_id",
                     name: str = "is_duplicate") -> DataFrame:
     """Mark every row that has an earlier equal one (on all columns but the order unless keys are given)."""
     keys = [c for c in df.columns if c != order] if keys is None else list(keys)
-    firsts = first_rows(df, keys, order).select(F.col(order).alias("__first"))
-    out = df.join(firsts, df[order] == firsts["__first"], "left")
-    return out.withColumn(name, F.col("__first").isNull()).drop("__first")
+    later = F.coalesce(F.col(order) > F.col("__first"), F.lit(False))
+    return _with_first(df, keys, order).withColumn(name, later).drop("__first")
 
 
 def dup_exists(df: DataFrame, keys: Sequence[str], order: str = "row_id") -> DataFrame:
     """The rows that have an earlier equal row."""
-    firsts = first_rows(df, keys, order).select(order)
-    return df.join(firsts, order, "left_anti")
+    out = null_safe(df, repeated_keys(df, keys, order), keys, "inner")
+    return out.filter(F.col(order) > F.col("__first")).drop("__first")
 
 
 def duplicate_ordinal(df: DataFrame, keys: Sequence[str], order: str = "row_id", name: str = "nth") -> DataFrame:

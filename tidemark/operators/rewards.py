@@ -167,12 +167,15 @@ def settle_signs(rows: DataFrame, width: int) -> DataFrame:
             yield fold_all(held[0].reset_index(drop=True))
 
     while not work.filter(F.col("__lo") != F.col("__hi")).isEmpty():
-        pieces = spread(work, "step", lookback, 0, width)
+        pieces = spread(work, "step", lookback, 0, min(width, PIECE))
         ordered = pieces.repartition(*keys).sortWithinPartitions(*keys, "step")
         work = cut(ordered.mapInPandas(fold, schema), "signs")
     return work
 
 
+# rows of one episode and action that a task holds in memory at once
+PIECE = 200_000
+
 MADE = ("total_steps", "contradiction", "consistency", "reward")
 
 
@@ -191,6 +194,7 @@ def shaped_reward(decisions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame
         "__issue": issue_adjustment(action, issues),
         "__skip": skip_bonus(action, issues),
     })
+    d = cut(d, "terms")  # read by both branches below
     repairs = [a for a in vocab.BASE_REWARDS if a != "skip"]
     closed = d.filter(action.isin(repairs)).withColumn("__positive", F.lit(True))
     open_rows = d.filter(~F.coalesce(action.isin(repairs), F.lit(False))).withColumns({

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.operators import clean as C
-from tidemark.operators.actions import apply_actions, cleaned_rows
+from tidemark.operators.actions import apply_decisions, cleaned_rows
 from tidemark.operators.decide import choose_action, default_specialists, recommend
 from tidemark.operators.detect import Rule, detect_issues, legal_actions, people_rules
 from tidemark.operators.quality import compare_quality
@@ -108,12 +108,9 @@ def cleaning_job(df: DataFrame, job_id: str, at: Column, rules: Sequence[Rule] |
                  history: DataFrame | None = None) -> CleaningJob:
     """Detect, decide, apply, log and measure."""
     decided = decide(df, rules, keys, fuzzy, history)
-    actions = decided.select("row_id", F.col("decision.action_type").alias("action_type"),
-                             F.col("decision.column").alias("column"), F.col("decision.value").alias("value"))
-    applied = apply_actions(df, actions, keys)
-    logged = applied.select("row_id", "action_type", "column", "old_value", "new_value").join(
-        decided.select("row_id", "issues", F.col("decision.agent").alias("agent"),
-                       F.col("decision.confidence").alias("confidence")), "row_id")
-    logged = logged.withColumn("reward", batch_reward(F.col("action_type"), F.col("issues")))
+    applied = apply_decisions(decided, "decision", df.columns, keys, carry=["issues", "decision"])
+    logged = applied.withColumns({
+        "agent": F.col("decision.agent"), "confidence": F.col("decision.confidence"),
+        "reward": batch_reward(F.col("action_type"), F.col("issues"))})
     cleaned = cleaned_rows(applied, df.columns)
     return CleaningJob(decided, applied, cleaned, audit_rows(logged, job_id, at), compare_quality(df, cleaned))
