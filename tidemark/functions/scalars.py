@@ -33,11 +33,19 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 
 
+def labels(pairs: list[tuple[Column, str]]) -> Column:
+    """Array of the labels whose condition holds, in order. Unlike filtering with a lambda, this stays in
+    generated code together with the conditions."""
+    if not pairs:
+        return F.array().cast("array<string>")
+    return F.array_remove(F.array(*[F.when(cond, F.lit(label)).otherwise(F.lit("")) for cond, label in pairs]), "")
+
+
 def any_issue(issues: Column, *, prefix: str | None = None, part: str | None = None) -> Column:
-    """Whether any issue text starts with ``prefix`` / contains ``part``."""
-    if prefix is not None:
-        return F.exists(issues, lambda x: x.startswith(prefix))
-    return F.exists(issues, lambda x: x.contains(part))
+    """Whether any issue text starts with ``prefix`` / contains ``part``: one look at the joined texts,
+    which generated code can do (a lambda over the array it cannot)."""
+    text = F.concat(F.lit("\x01"), F.array_join(issues, "\x01"))
+    return text.contains(part if prefix is None else "\x01" + prefix)
 
 
 def elapsed_text(start: Column, end: Column) -> Column:

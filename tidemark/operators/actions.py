@@ -92,4 +92,5 @@ def diff(before: DataFrame, after: DataFrame, row_id: str = "row_id", columns: S
             F.col(f"__a_{c}").cast("string").alias("new_value")))
         for c in columns
     ]
-    return b.join(a, row_id).select(row_id, F.inline(F.array_compact(F.array(*cells))))
+    long = b.join(a, row_id).select(row_id, F.explode(F.array(*cells)).alias("x"))
+    return long.filter(F.col("x").isNotNull()).select(row_id, "x.*")

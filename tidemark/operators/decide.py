@@ -169,8 +169,8 @@ def recommend(df: DataFrame, specialists: Sequence[Specialist], issues: str = "i
             s.proposal["value"].alias("value"), s.confidence.cast("double").alias("confidence"),
             expertise_bonus(F.col(issues), s.expertise).alias("expertise"),
         )
-        entries.append(F.when(s.applies & s.proposal.isNotNull(), entry))
-    return df.withColumn(name, F.array_compact(F.array(*entries)))
+        entries.append(F.coalesce(F.when(s.applies & s.proposal.isNotNull(), F.array(entry)), F.array()))
+    return df.withColumn(name, F.concat(*entries))
 
 
 def history_snapshot(history: DataFrame) -> Column:

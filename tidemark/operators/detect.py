@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions import predicates as P
-from tidemark.functions.scalars import any_issue
+from tidemark.functions.scalars import any_issue, labels
 from tidemark.operators.quantiles import attach_quantiles
 
 
@@ -72,9 +72,7 @@ def blank_rules(df: DataFrame, skip: Sequence[str] = ("row_id",)) -> list[Rule]:
 
 
 def issues_array(rules: Sequence[Rule]) -> Column:
-    if not rules:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(r.predicate, F.lit(r.issue)) for r in rules]))
+    return labels([(r.predicate, r.issue) for r in rules])
 
 
 def detect_issues(df: DataFrame, rules: Sequence[Rule], name: str = "issues") -> DataFrame:
@@ -103,18 +101,16 @@ def outlier_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5, by: Sequence
 
 def legal_actions(issues: Column) -> Column:
     """Always skip, duplicate removal, category and outlier repair; fills, casts and formatting by issue."""
-    def only_if(prefix: str, action: str) -> Column:
-        return F.when(any_issue(issues, prefix=prefix), F.lit(action))
-
-    return F.array_sort(F.array_compact(F.array(
-        F.lit("skip"),
-        only_if("missing:", "fill_missing"),
-        only_if("wrong_type:", "fix_type"),
-        only_if("formatting:", "fix_formatting"),
-        F.lit("remove_duplicate"),
-        F.lit("fix_category"),
-        F.lit("remove_outlier"),
-    )))
+    always = F.lit(True)
+    return labels([  # in alphabetical order
+        (any_issue(issues, prefix="missing:"), "fill_missing"),
+        (always, "fix_category"),
+        (any_issue(issues, prefix="formatting:"), "fix_formatting"),
+        (any_issue(issues, prefix="wrong_type:"), "fix_type"),
+        (always, "remove_duplicate"),
+        (always, "remove_outlier"),
+        (always, "skip"),
+    ])
 
 
 def expected_action(issues: Column) -> Column:

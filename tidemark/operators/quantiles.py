@@ -60,7 +60,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by:
                 F.lit(c).alias("column"), F.lit(float(q)).alias("q"), bracket[c]["n"].alias("n"),
                 F.when(v >= lo, v).alias("v"))))
     hist = (
-        marked.select(*by, F.explode(F.array_compact(F.array(*items))).alias("x"))
+        marked.select(*by, F.explode(F.array(*items)).alias("x"))
+        .filter(F.col("x").isNotNull())
         .select(*by, "x.*")
         .groupBy(*by, "column", "q", "n", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))

@@ -69,7 +69,7 @@ def spread(df: DataFrame, rank: str, back: int, ahead: int, width: int) -> DataF
         shown.append(F.when((pos % width < ahead) & (piece > 0),
                             F.struct((piece - 1).alias("piece"), F.lit(True).alias("guest"))))
     if len(shown) > 1:
-        cut = df.withColumn("__p", F.explode(F.array_compact(F.array(*shown))))
+        cut = df.withColumn("__p", F.explode(F.array(*shown))).filter(F.col("__p").isNotNull())
     else:
         cut = df.withColumn("__p", shown[0])
     cut = cut.withColumns({"__piece": F.col("__p.piece"), "__guest": F.col("__p.guest")}).drop("__p")

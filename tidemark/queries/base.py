@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import vocab
-from tidemark.functions.scalars import gate
+from tidemark.functions.scalars import gate, labels
 from tidemark.operators.inject import make_dirty
 from tidemark.operators.segments import with_rank
 
@@ -209,8 +209,7 @@ def decisions(spark: SparkSession, sf: str, steps: bool = True) -> DataFrame:
 def decisions_of(e: DataFrame) -> DataFrame:
     action = F.create_map(*[F.lit(x) for kv in EVENT_ACTION.items() for x in kv])
     agent = F.create_map(*[F.lit(x) for kv in ACTION_AGENT.items() for x in kv])
-    issues = F.array_compact(F.array(*[
-        F.when(gate(r, F.lit(SEED), F.lit("issue"), F.lit(i), F.col("event_id")), F.lit(i)) for r, i in DECISION_ISSUES]))
+    issues = labels([(gate(r, F.lit(SEED), F.lit("issue"), F.lit(i), F.col("event_id")), i) for r, i in DECISION_ISSUES])
     return e.select(
         F.col("event_id").alias("row_id"), F.col("user_id").alias("episode"), F.col("ts"),
         action[F.col("event_type")].alias("action_type"), agent[action[F.col("event_type")]].alias("agent"),
