@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 HASH_SPACE = float(2**32)
@@ -41,11 +43,26 @@ def labels(pairs: list[tuple[Column, str]]) -> Column:
     return F.array_remove(F.array(*[F.when(cond, F.lit(label)).otherwise(F.lit("")) for cond, label in pairs]), "")
 
 
+def joined_issues(issues: Column) -> Column:
+    """The issues in one text, each behind a mark: generated code can search it, a lambda over the array
+    would leave generated code."""
+    return F.concat(F.lit("\x01"), F.array_join(issues, "\x01"))
+
+
 def any_issue(issues: Column, *, prefix: str | None = None, part: str | None = None) -> Column:
-    """Whether any issue text starts with ``prefix`` / contains ``part``: one look at the joined texts,
-    which generated code can do (a lambda over the array it cannot)."""
-    text = F.concat(F.lit("\x01"), F.array_join(issues, "\x01"))
-    return text.contains(part if prefix is None else "\x01" + prefix)
+    """Whether any issue text starts with ``prefix`` / contains ``part``."""
+    return joined_issues(issues).contains(part if prefix is None else "\x01" + prefix)
+
+
+def count_issues(issues: Column, *parts: str) -> Column:
+    """How many issues contain one of the parts."""
+    either = "|".join(re.escape(p) for p in parts)
+    return F.regexp_count(joined_issues(issues), F.lit(f"\x01[^\x01]*?(?:{either})[^\x01]*"))
+
+
+def first_issue_column(issues: Column, kind: str) -> Column:
+    """Column named by the first issue of a kind, NULL if there is none."""
+    return F.nullif(F.regexp_extract(joined_issues(issues), f"\x01{re.escape(kind)}:([^\x01]+)", 1), F.lit(""))
 
 
 def elapsed_text(start: Column, end: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions import predicates as P
-from tidemark.functions.scalars import any_issue, clamp, fixed_length
+from tidemark.functions.scalars import any_issue, clamp, count_issues, first_issue_column, fixed_length
 from tidemark.functions.similarity import ratio_udf
 from tidemark.operators.clean import category_lookup, fuzzy_category
 from tidemark.operators.detect import can_handle
@@ -44,8 +44,7 @@ def _allowed(legal: Column | None, action: str) -> Column:
 
 
 def fill_specialist(df: DataFrame, issues: Column, legal: Column | None = None) -> Specialist:
-    gaps = F.filter(issues, lambda x: x.startswith("missing:"))
-    column = F.substring_index(F.get(gaps, F.lit(0)), ":", -1)
+    column = first_issue_column(issues, "missing")
     values = F.create_map(*[F.lit(str(x)) for kv in vocab.FILL_DEFAULTS.items() for x in kv])
     sure = F.create_map(*[F.lit(x) for kv in vocab.FILL_CONFIDENCE.items() for x in kv])
     usable = _allowed(legal, "fill_missing") & column.isin(df.columns)
@@ -148,13 +147,7 @@ def expertise_bonus(issues: Column, expertise: Sequence[str]) -> Column:
     if not expertise:
         return F.lit(0.0)
 
-    def matches(x: Column) -> Column:
-        hit = x.contains(expertise[0])
-        for e in expertise[1:]:
-            hit = hit | x.contains(e)
-        return hit
-
-    n = F.size(F.filter(issues, matches))
+    n = count_issues(issues, *expertise)
     return F.when(n > 0, F.least(F.lit(1.0), 0.3 + n * 0.2)).otherwise(F.lit(0.0))
 
 

@@ -7,7 +7,8 @@ floor(rows * rate) rows: those with the smallest hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -24,11 +25,6 @@ def with_truth(df: DataFrame) -> DataFrame:
     return df if TRUTH in df.columns else df.withColumn(TRUTH, F.array().cast("array<string>"))
 
 
-def _noted(hit: Column, issue: str) -> Column:
-    # one reference to the column: a long chain of injections stays small when filters move through it
-    return F.concat(F.col(TRUTH), F.when(hit, F.array(F.lit(issue))).otherwise(F.array().cast("array<string>")))
-
-
 def _hits(df: DataFrame, rate: float, op: str, column: str, seed: int, key: str, exact: bool) -> tuple[DataFrame, Column]:
     if not exact:
         return df, gate(rate, F.lit(str(seed)), F.lit(op), F.lit(column), F.col(key))
@@ -60,25 +56,41 @@ def kth_smallest(df: DataFrame, c: str, rate: float) -> Column:
     return reached.agg(F.struct(F.max("k").alias("k"), F.min("v").alias("v"))).scalar()
 
 
-def _change(df: DataFrame, op: str, column: str, rate: float, seed: int, key: str, exact: bool, issue: str,
-            new: Callable[[Column], Column], always: bool = False) -> DataFrame:
-    """Replace the cell where hit, empty cells only if ``always``; the issue is noted for the cells replaced."""
+@dataclass(frozen=True)
+class _Error:
+    """One kind of error in one column: empty cells are hit only if ``always``."""
+
+    op: str
+    column: str
+    rate: float
+    new: Callable[[Column], Column]
+    issue: str
+    always: bool = False
+
+
+def _change(df: DataFrame, errors: Sequence[_Error], seed: int, key: str, exact: bool) -> DataFrame:
+    """Replace the cells hit and note the issues, all columns of an operation in one projection."""
     base = df.columns
-    d, hit = _hits(df, rate, op, column, seed, key, exact)
-    c = F.col(column)
-    hit = hit if always else hit & c.isNotNull()
-    return d.withColumns({
-        TRUTH: _noted(hit, issue),
-        column: F.when(hit, new(c).cast(df.schema[column].dataType)).otherwise(c),
-    }).select(*base)
+    if exact and len(errors) > 1:
+        for e in errors:
+            df = _change(df, [e], seed, key, exact)
+        return df
+    changed, noted = {}, F.col(TRUTH)
+    for e in errors:
+        df, hit = _hits(df, e.rate, e.op, e.column, seed, key, exact)
+        c = F.col(e.column)
+        hit = hit if e.always else hit & c.isNotNull()
+        # the truth column is referred to once: a long chain of injections stays small when filters move through it
+        noted = F.concat(noted, F.when(hit, F.array(F.lit(e.issue))).otherwise(F.array().cast("array<string>")))
+        changed[e.column] = F.when(hit, e.new(c).cast(df.schema[e.column].dataType)).otherwise(c)
+    out = df.withColumns({**changed, TRUTH: noted}) if errors else df
+    return out.select(*base) if exact else out
 
 
 def inject_missing(df: DataFrame, rate: float, cols=None, seed: int = 42, key: str = "row_id", exact: bool = False) -> DataFrame:
-    out = with_truth(df)
-    for c in vocab.NULLABLE_COLUMNS if cols is None else cols:
-        if c in df.columns:
-            out = _change(out, "missing", c, rate * 0.5, seed, key, exact, f"missing:{c}", lambda x: F.lit(None))
-    return out
+    cols = [c for c in (vocab.NULLABLE_COLUMNS if cols is None else cols) if c in df.columns]
+    errors = [_Error("missing", c, rate * 0.5, lambda x: F.lit(None), f"missing:{c}") for c in cols]
+    return _change(with_truth(df), errors, seed, key, exact)
 
 
 def inject_duplicates(df: DataFrame, rate: float, seed: int = 42, key: str = "row_id", offset: int | None = None,
@@ -101,50 +113,44 @@ def inject_duplicates(df: DataFrame, rate: float, seed: int = 42, key: str = "ro
 
 
 def inject_outliers(df: DataFrame, rate: float, values=None, seed: int = 42, key: str = "row_id", exact: bool = False) -> DataFrame:
-    out = with_truth(df)
-    for c, options in (vocab.OUTLIER_VALUES if values is None else values).items():
-        if c in df.columns:
-            out = _change(out, "outlier", c, rate * 0.3, seed, key, exact, f"outlier:{c}",
-                          lambda x, o=options, c=c: pick(o, F.lit(str(seed)), F.lit("outlier_value"), F.lit(c), F.col(key)),
-                          always=True)
-    return out
+    def drawn(c: str, options: list) -> Callable[[Column], Column]:
+        return lambda x: pick(options, F.lit(str(seed)), F.lit("outlier_value"), F.lit(c), F.col(key))
+
+    values = vocab.OUTLIER_VALUES if values is None else values
+    errors = [_Error("outlier", c, rate * 0.3, drawn(c, o), f"outlier:{c}", always=True)
+              for c, o in values.items() if c in df.columns]
+    return _change(with_truth(df), errors, seed, key, exact)
 
 
 def inject_category_errors(df: DataFrame, rate: float, seed: int = 42, key: str = "row_id", exact: bool = False) -> DataFrame:
     """Typos in dept (unknown departments get an ``x``), upper or lower case in name."""
-    out = with_truth(df)
-    if "dept" in df.columns:
-        typos = F.create_map(*[F.lit(x) for kv in vocab.DEPT_TYPOS.items() for x in kv])
-        out = _change(out, "category", "dept", rate * 0.5, seed, key, exact, "category:dept",
-                      lambda x: F.coalesce(typos[x], F.concat(x, F.lit("x"))))
-    if "name" in df.columns:
-        upper = gate(0.5, F.lit(str(seed)), F.lit("upper"), F.lit("name"), F.col(key))
-        out = _change(out, "category", "name", rate * 0.5, seed, key, exact, "category:name",
-                      lambda x: F.when(upper, F.upper(x)).otherwise(F.lower(x)))
-    return out
+    typos = F.create_map(*[F.lit(x) for kv in vocab.DEPT_TYPOS.items() for x in kv])
+    upper = gate(0.5, F.lit(str(seed)), F.lit("upper"), F.lit("name"), F.col(key))
+    new = {"dept": lambda x: F.coalesce(typos[x], F.concat(x, F.lit("x"))),
+           "name": lambda x: F.when(upper, F.upper(x)).otherwise(F.lower(x))}
+    errors = [_Error("category", c, rate * 0.5, f, f"category:{c}") for c, f in new.items() if c in df.columns]
+    return _change(with_truth(df), errors, seed, key, exact)
 
 
 def inject_type_errors(df: DataFrame, rate: float, c: str = "score", seed: int = 42, key: str = "row_id",
                        exact: bool = False) -> DataFrame:
-    out = with_truth(df)
     if c not in df.columns:
-        return out
-    return _change(out, "type", c, rate, seed, key, exact, f"wrong_type:{c}",
-                   lambda x: F.concat(x.cast("string"), F.lit(" points")))
+        return with_truth(df)
+    error = _Error("type", c, rate, lambda x: F.concat(x.cast("string"), F.lit(" points")), f"wrong_type:{c}")
+    return _change(with_truth(df), [error], seed, key, exact)
 
 
 def inject_formatting_errors(df: DataFrame, rate: float, seed: int = 42, key: str = "row_id", exact: bool = False) -> DataFrame:
-    out = with_truth(df)
-    if "email" in df.columns:
-        spelled = gate(0.5, F.lit(str(seed)), F.lit("spelled"), F.lit("email"), F.col(key))
-        out = _change(out, "formatting", "email", rate * 0.5, seed, key, exact, "formatting:email",
-                      lambda x: F.when(~x.contains("@"), x).when(spelled, F.replace(x, F.lit("@"), F.lit(" at ")))
-                      .otherwise(F.concat(x, F.lit(".com"))))
-    if "name" in df.columns:
-        padded = gate(0.5, F.lit(str(seed)), F.lit("padded"), F.lit("name"), F.col(key))
-        out = _change(out, "formatting", "name", rate * 0.5, seed, key, exact, "formatting:name",
-                      lambda x: F.when(padded, F.concat(x, F.lit(" "))).otherwise(F.replace(x, F.lit(" "), F.lit("_"))))
-    return out
+    """E-mails with a spelled-out or doubled ending, names with a trailing blank or underscores."""
+    spelled = gate(0.5, F.lit(str(seed)), F.lit("spelled"), F.lit("email"), F.col(key))
+    padded = gate(0.5, F.lit(str(seed)), F.lit("padded"), F.lit("name"), F.col(key))
+    new = {
+        "email": lambda x: F.when(~x.contains("@"), x).when(spelled, F.replace(x, F.lit("@"), F.lit(" at ")))
+        .otherwise(F.concat(x, F.lit(".com"))),
+        "name": lambda x: F.when(padded, F.concat(x, F.lit(" "))).otherwise(F.replace(x, F.lit(" "), F.lit("_"))),
+    }
+    errors = [_Error("formatting", c, rate * 0.5, f, f"formatting:{c}") for c, f in new.items() if c in df.columns]
+    return _change(with_truth(df), errors, seed, key, exact)
 
 
 def make_dirty(df: DataFrame, level: str = "hard", seed: int = 42, key: str = "row_id", exact: bool = False,

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import vocab
-from tidemark.functions.scalars import any_issue, clamp
+from tidemark.functions.scalars import any_issue, clamp, count_issues
 from tidemark.operators.segments import DEFAULT_WIDTH, null_safe, over_pieces, spread
 from tidemark.session import cut
 
@@ -34,8 +34,8 @@ def base_reward(action: Column) -> Column:
 
 def issue_adjustment(action: Column, issues: Column) -> Column:
     """A bonus per issue the action addresses."""
-    def n(part: str, other: str | None = None) -> Column:
-        return F.size(F.filter(issues, lambda x: x.contains(part) | x.contains(other) if other else x.contains(part)))
+    def n(*parts: str) -> Column:
+        return count_issues(issues, *parts)
 
     return (
         F.when(action == "fill_missing", 0.1 * n("missing:"))
