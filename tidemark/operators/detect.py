@@ -80,8 +80,13 @@ def detect_issues(df: DataFrame, rules: Sequence[Rule], name: str = "issues") ->
 
 
 def explode_issues(df: DataFrame, issues: str = "issues", row_id: str = "row_id") -> DataFrame:
-    """Long form: row_id, kind, column."""
-    return df.select(row_id, F.explode(issues).alias("issue")).select(
+    """Long form: row_id, kind, column.
+
+    The outer explode keeps the optimizer from testing the array's size first, which would evaluate all
+    rules a second time.
+    """
+    long = df.select(row_id, F.explode_outer(issues).alias("issue")).filter(F.col("issue").isNotNull())
+    return long.select(
         row_id,
         F.split_part("issue", F.lit(":"), F.lit(1)).alias("kind"),
         F.split_part("issue", F.lit(":"), F.lit(2)).alias("column"),

@@ -52,7 +52,7 @@ def candidates(spark, sf):
 
 @query("recommend", f"""WITH {B.DIRTY}, {CANDIDATES} SELECT row_id, agent, action_type, col AS "column", value, round(confidence, 6) AS confidence, round(expertise, 6) AS expertise FROM scored0""")
 def recommend(spark, sf):
-    c = candidates(spark, sf).select("row_id", F.explode("candidates").alias("c"))
+    c = candidates(spark, sf).select("row_id", F.explode_outer("candidates").alias("c"))
     return c.select("row_id", "c.agent", "c.action_type", "c.column", "c.value", F.round("c.confidence", 6).alias("confidence"),
                     F.round("c.expertise", 6).alias("expertise"))
 
@@ -60,7 +60,7 @@ def recommend(spark, sf):
 @query("recommend_fuzzy")
 def recommend_fuzzy(spark, sf):
     f = found_all(spark, sf).withColumn("legal", legal_actions(F.col("issues")))
-    c = D.recommend(f, D.default_specialists(f, F.col("issues"), F.col("legal"))).select("row_id", F.explode("candidates").alias("c"))
+    c = D.recommend(f, D.default_specialists(f, F.col("issues"), F.col("legal"))).select("row_id", F.explode_outer("candidates").alias("c"))
     return c.groupBy("c.agent", "c.action_type", "c.column").agg(F.count(F.lit(1)).alias("n"))
 
 
