@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import cut
@@ -12,6 +16,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(module: str) -> None:
+    """Send this module's functions and classes to the tasks by value, so that nothing has to be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker and is shared by the tasks that run in it."""
+    module = sys.modules.setdefault("tidemark_worker_store", types.ModuleType("tidemark_worker_store"))
+    return module.__dict__.setdefault(name, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,3 +58,6 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column])
     within = Window.partitionBy("__p").orderBy(*named).rowsBetween(Window.unboundedPreceding, 0)
     return parts.join(offsets, "__p").withColumns(
         {k: F.col(f"__b_{k}") + F.sum(f"__v_{k}").over(within) for k in sums}).select(*df.columns, *sums)
+
+
+ship(__name__)

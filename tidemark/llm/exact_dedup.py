@@ -68,6 +68,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. A row without an id can't be named, so it stays."""
     gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -87,12 +87,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: a row per whole copy taken, and one with the first words where a document is cut.
 
-    Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. Documents need unique ids.
+    Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. Documents need unique ids;
+    those without an id are not taken.
     """
     plan = mix(docs, id_col, text_col, source_col, weights, share, most).where("taken > 0").select(
         F.col("doc_id").alias("__id"), (F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("__whole"),
         F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(0)).alias("__part"))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn(
+    rows = docs.join(plan, docs[id_col] == plan["__id"]).withColumn(
         "__take", F.explode(F.concat(
             F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")),
             F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")))))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import ship
 from tidemark.llm.tokens import encoder
 
 TOKENS, SEGMENTS = 1024, 64
@@ -148,3 +149,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        free.cast("int").alias("free")).mapInArrow(run, PIECES)
+
+
+ship(__name__)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import exact_dedup as dedup
-from tidemark.llm import mixing, packing, secrets, token_store
-from tidemark.llm.common import ascii_lower, table
+from tidemark.llm import language, mixing, packing, secrets, simhash, token_store, topk, toxicity, warc
+from tidemark.llm.common import ascii_lower, crc_mod, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,19 @@ def tokenizer_path(name: str) -> str:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model, keep=[held_out.alias("held_out")])
+
+
+@query("op2_language")
+def op2_language(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3) == 1
+    return language.predict(docs, language.fit(docs, ~held_out), keep=[held_out.alias("held_out")])
+
+
 @query("op3_exact_dedup", f"""
     WITH t AS (SELECT doc_id, {_LOWER} AS t FROM documents)
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -86,6 +100,36 @@ def op6_token_store(spark, sf_dir):
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), WORD_END)
 
 
+@query("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op8_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    f AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 100 AND first != page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND first != page_id THEN first END AS refers_to
+    FROM f""")
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("intact")
+
+
+@query("op9_topk", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON c.vec_id != q.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op9_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), BYTE_END)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

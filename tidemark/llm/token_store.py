@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark.llm.common import ship
 from tidemark.llm.tokens import encoder
 from tidemark.session import scratch_path
 
@@ -150,3 +151,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
     return read_tokens(docs.sparkSession, path)
+
+
+ship(__name__)
