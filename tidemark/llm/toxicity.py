@@ -105,15 +105,14 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term, or None."""
+        if len(self.states) > MOST_STATES:
+            self.reset()
         state, stem = self.start, None
         for c in word:
             step = self.steps[state]
             if c in step:
                 state = step[c]
             else:
-                if len(self.states) > MOST_STATES:
-                    self.reset()
-                    return self.match(word)
                 state = step[c] = self._step(state, c)
             if state < 0:
                 return stem

@@ -85,28 +85,35 @@ def _parsed(text: str) -> dict[str, Column]:
     }
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place where the magic stands: file, at (byte offset), next (where its record would end), the header's fields, and
-    ``text`` where the chunk up to the next magic is not the record.
-
-    Spark reads the files in splits, with the magic as the line separator. The chunks and separators before a chunk add
-    up to its offset: within a split in the order of reading, then over the splits of a file.
-    """
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between two magics, by Spark's text reader, which splits large files: file, block, row, value."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
-    fields = _parsed("value")
-    slim = raw.select("file", "block", "row", F.octet_length("value").cast("long").alias("size"), *[c.alias(k) for k, c in fields.items()], "value")
-    whole = F.col("length").isNotNull() & (F.col("head") + F.col("length") + 2 * len(END) == F.col("size"))
-    slim = cut(slim.withColumn("text", F.when(whole, F.lit(None)).otherwise(F.col("value"))).drop("value"), "chunks")
-    blocks = slim.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("__all"))
+
+
+def _placed(chunks: DataFrame) -> DataFrame:
+    """Adds ``at``, the byte where a chunk's magic stands (the first chunk of a file stands before the first magic).
+
+    The chunks and magics before a chunk add up to its place: within a split in the order of reading, then over the splits
+    of a file.
+    """
+    step = F.col("size") + len(MAGIC)
+    blocks = chunks.groupBy("file", "block").agg(F.sum(step).alias("__all"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", F.coalesce(F.sum("__all").over(ahead), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    # a chunk follows its magic: the first chunk of a file is what stands before the first magic
-    return slim.join(offsets, ["file", "block"]).withColumn(
-        "at", F.col("__base") + F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(inside), F.lit(0)) - len(MAGIC)).withColumn(
-        "next", F.when(F.col("length").isNotNull(), F.col("at") + len(MAGIC) + F.col("head") + F.col("length") + 2 * len(END))).drop("__base", "block", "row")
+    return chunks.join(offsets, ["file", "block"]).withColumn(
+        "at", F.col("__base") + F.coalesce(F.sum(step).over(inside), F.lit(0)) - len(MAGIC)).drop("__base", "block", "row")
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every place where the magic stands: file, at (byte), next (where its record would end), whether the chunk up to the
+    next magic is that record (``whole``), and the header's fields."""
+    size = F.octet_length("value").cast("long")
+    slim = cut(_chunks(spark, path).select("file", "block", "row", size.alias("size"), *[c.alias(k) for k, c in _parsed("value").items()]), "chunks")
+    end = F.col("head") + F.col("length") + 2 * len(END)
+    return _placed(slim).withColumns({"next": F.col("at") + len(MAGIC) + end, "whole": F.coalesce(end == F.col("size"), F.lit(False))})
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -144,18 +151,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, and ``intact``.
 
     Of a response, length and digest are those of the payload read, and ``intact`` tells whether the header says the same; a
-    revisit has them from its header. A payload in which the magic stands is put together from its chunks.
+    revisit has them from its header. Where the magic stands in a payload, the record is put together from its chunks: the texts
+    of such files are read again, and only there.
     """
-    chunks = reachable(candidates(spark, path)).where("at >= 0")
-    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # chunks that belong to the record before them; records that stand whole in one chunk are done
-    parts = chunks.withColumn("record", F.max(F.when(F.col("own"), F.col("at"))).over(order)).where("text IS NOT NULL")
     fields = ["page_id", "type", "refers", "said_digest", "said_bytes", "bytes", "digest"]
-    single = chunks.where("own AND text IS NULL").select(*fields)
-    built = parts.where("record IS NOT NULL").groupBy("file", "record").agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), MAGIC).alias("value"))
-    split = built.select(*[c.alias(k) for k, c in _parsed("value").items() if k in fields])
-    every = single.unionByName(split)
+    chunks = cut(reachable(candidates(spark, path)).where("at >= 0"), "records")
+    every = chunks.where("own AND whole").select(*fields)
+    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    owned = chunks.select("file", "at", F.max(F.when(F.col("own"), F.col("at"))).over(order).alias("record"), "own", "whole")
+    needed = owned.where("record IS NOT NULL AND NOT (own AND whole)").select("file", "at", "record")
+    if not needed.isEmpty():
+        texts = _placed(_chunks(spark, path).join(needed.select("file").distinct(), "file", "left_semi").withColumn("size", F.octet_length("value").cast("long")))
+        built = texts.join(needed, ["file", "at"]).groupBy("file", "record").agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+        every = every.unionByName(built.select(*[c.alias(k) for k, c in _parsed("value").items() if k in fields]))
     response = F.col("type") == "response"
     return every.select(
         F.when(F.col("page_id") != "", F.col("page_id").cast("long")).alias("page_id"),
