@@ -198,6 +198,33 @@ def test_job(spark):
     assert agents[1] == ("FillMissingAgent", "fill_missing") and agents[4] == ("DuplicateDetector", "remove_duplicate")
 
 
+def test_job_writes_what_it_decides(spark):
+    """Typos that no literal map knows, outliers that only the typical range tells, blanks; addresses stay as they are."""
+    rows = [(i, i, f"person {i}", 40, 60000, 80.0, d, f"p{i}@gmail.com") for i, d in enumerate(
+        ["enginering", "marketting", "finanse", "engineering", "hr"])]
+    rows += [(5, 5, "person 5", -40, 60000, 80.0, "hr", "p5@gmail.com"), (6, 6, "person 6", 130, 60000, 80.0, "hr", "p6@gmail.com"),
+             (7, 7, "person 7", 40, 999999, 80.0, "hr", "p7@gmail.com"), (8, 8, "   ", 40, 60000, 80.0, "hr", "p8@gmail.com"),
+             (9, 9, "person 9", 40, 60000, 80.0, "hr", "c at gmail.com")]
+    d = spark.createDataFrame(rows, "row_id long, id long, name string, age long, salary long, score double, dept string, email string")
+    job = cleaning_job(d, "job", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.row_id: r for r in job.cleaned.collect()}
+    took = {r.row_id: r for r in job.applied.collect()}
+    for i, (_, _, _, _, _, _, dept, _) in enumerate(rows[:3]):
+        if took[i].action_type == "fix_category":
+            assert took[i].took_effect and got[i].dept == took[i].decision.value != dept
+    assert got[0].dept == "engineering"
+    assert (got[5].age, got[6].age, got[7].salary) == (35, 35, 75000) and all(took[i].took_effect for i in (5, 6, 7))
+    assert got[8].name == "unknown" and took[8].took_effect
+    assert [got[i].email for i in range(10)] == [r[7] for r in rows]
+
+
+def test_long_list_of_known_values(spark):
+    known = [f"category number {i:05d}" for i in range(0, 30000, 17)]
+    d = spark.createDataFrame([(0, "category nummber 00034"), (1, "Category Number 00017 "), (2, "nothing like it at all, really"), (3, None)], "row_id long, c string")
+    got = {r.row_id: r.c for r in C.fix_category_fuzzy(d, "c", known, 0.9).collect()}
+    assert got == {0: "category number 00034", 1: "category number 00017", 2: "nothing like it at all, really", 3: None}
+
+
 def test_texts(spark):
     d = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 01:05:30")], "a string, b string").selectExpr("timestamp(a) a", "timestamp(b) b")
     a, b = F.col("a"), F.col("b")

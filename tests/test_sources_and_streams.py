@@ -8,25 +8,72 @@ from tidemark.streaming import streams as T
 def test_csv(spark, tmp_path):
     p = tmp_path / "people.csv"
     p.write_text("﻿Name,Age,Score,Note,Ok\nAlice,30,1.5,\"a, \"\"b\"\"\nc\",True\nBob,NA,null,,False\nEve,41,nan,x,\n", encoding="utf-8")
-    d = files.scan_csv(spark, str(p), row_id=True)
+    d = files.scan_csv(spark, str(p), row_id=True, multi_line=True)
     assert dict(d.dtypes) == {"row_id": "bigint", "Name": "string", "Age": "bigint", "Score": "double", "Note": "string", "Ok": "boolean"}
     rows = d.orderBy("row_id").collect()
     assert [r.Age for r in rows] == [30, None, 41] and [r.Score for r in rows] == [1.5, None, None]
     assert rows[0].Note == 'a, "b"\nc' and rows[1].Note is None and [r.Ok for r in rows] == [True, False, None]
-    typed = files.scan_csv(spark, str(p), "Name string, Age double, Score bigint, Note string, Ok boolean").collect()
+    typed = files.scan_csv(spark, str(p), "Name string, Age double, Score bigint, Note string, Ok boolean", multi_line=True).collect()
     assert typed[0].Age == 30.0 and typed[0].Score is None
 
 
+def test_csv_numbers_rows_in_file_order(spark, tmp_path):
+    """Files of unlike size, read in many splits: Spark takes the largest first."""
+    want = []
+    for name, n in (("a.csv", 3), ("b.csv", 400), ("c.csv", 40)):
+        rows = [f"{name}-{i}" for i in range(n)]
+        (tmp_path / name).write_text("x\n" + "".join(r + "\n" for r in rows))
+        want += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        got = files.scan_csv(spark, str(tmp_path), row_id=True)
+        assert got.rdd.getNumPartitions() > 3
+        assert [(r.row_id, r.x) for r in got.orderBy("row_id").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_catalog(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,\n1,\n2,3\n")
     (tmp_path / "b.txt").write_text("no")
-    r = files.dataset_catalog(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.txt")]).collect()
-    assert len(r) == 1 and (r[0].rows, r[0].duplicates, r[0].columns) == (3, 1, "x,y")
-    assert r[0].quality_score == pytest.approx(1 - 2 / 6 - 1 / 3, abs=1e-6) and r[0].size == 14
+    (tmp_path / "big.csv").write_text("x\n" + "1\n" * 50)
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.txt", "big.csv", "folder.parquet")]
+    r = {x.file.rsplit("/", 1)[-1]: x for x in files.dataset_catalog(spark, paths).collect()}
+    assert len(r) == 4
+    assert (r["a.csv"]["rows"], r["a.csv"].duplicates, r["a.csv"].columns, r["a.csv"].accepted) == (3, 1, "x,y", True)
+    assert r["a.csv"].quality_score == pytest.approx(1 - 2 / 6 - 1 / 3, abs=1e-6) and r["a.csv"].size == 14
+    assert (r["b.txt"].accepted, r["b.txt"].reason, r["b.txt"]["rows"]) == (False, "unknown extension", None)
+    assert r["folder.parquet"]["rows"] == 10 and r["folder.parquet"].size > 1000
+    assert r["big.csv"]["rows"] == 50
+    few = {x.file.rsplit("/", 1)[-1]: x for x in files.dataset_catalog(spark, paths[:3], max_bytes=60).collect()}
+    assert (few["big.csv"].accepted, few["big.csv"].reason, few["big.csv"]["rows"]) == (False, "too large", None) and few["a.csv"]["rows"] == 3
     with pytest.raises(ValueError):
         files.scan(spark, "x.xlsx")
 
 
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from tidemark.session import shared_folder
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+
+
 def test_audit_log(spark, tmp_path):
     path = str(tmp_path / "audit")
     acts = spark.range(20).select(F.col("id").alias("row_id"), F.lit("skip").alias("action_type"), F.lit("id").alias("column"),

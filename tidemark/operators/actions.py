@@ -23,13 +23,17 @@ def apply_actions(df: DataFrame, actions: DataFrame, keys: Sequence[str] = ("nam
 
 
 def apply_decisions(df: DataFrame, action: str, columns: Sequence[str], keys: Sequence[str] = ("name", "email"),
-                    row_id: str = "row_id", carry: Sequence[str] = ()) -> DataFrame:
+                    row_id: str = "row_id", carry: Sequence[str] = (), proposed: bool = False, mode: str = "na") -> DataFrame:
     """Carry out the action (struct action_type, column, value) that stands beside each row.
 
     Gives the columns with action_type, column, old_value, new_value, took_effect, removed and reward, and
     the ``carry`` columns as they are. A row whose action is remove_duplicate goes if an earlier row, after
     its own action, has the same keys. Only those rows meet the key table, which holds one pre-aggregated
     row per key; decisions made on the same frame need no join at all.
+
+    By default categories and outliers are repaired by the fixed rule, whatever value stands in the action. With
+    ``proposed`` the action's value is written: a category where it differs, an outlier where the cell is one by the
+    specialist's own test. ``mode`` tells what a fill takes for missing.
     """
     j = df.withColumns({
         "__act": F.coalesce(F.col(f"{action}.action_type"), F.lit("skip")),
@@ -42,15 +46,22 @@ def apply_decisions(df: DataFrame, action: str, columns: Sequence[str], keys: Se
         here = F.coalesce(F.col("__col") == f.name, F.lit(False))
         is_text = isinstance(f.dataType, T.StringType)
         is_number = isinstance(f.dataType, T.NumericType)
-        steps = [(here & (F.col("__act") == "fill_missing") & P.missing(c, "na", f.dataType),
+        steps = [(here & (F.col("__act") == "fill_missing") & P.missing(c, mode, f.dataType),
                   F.col("__val").try_cast(f.dataType.simpleString()))]
         if is_text:
             steps.append((here & (F.col("__act") == "fix_type") & P.numeric_text(c), fix_type_cell(c)))
+            if proposed:
+                steps.append((here & (F.col("__act") == "fix_category") & F.coalesce(F.col("__val") != c, F.lit(False)), F.col("__val")))
             steps.append((here & (F.col("__act") == "fix_category") & category_lookup(c).isNotNull(), category_lookup(c)))
             steps.append((here & (F.col("__act") == "fix_formatting") & c.isNotNull(), fix_formatting(c)))
         if is_number:
             steps.append((here & (F.col("__act") == "fix_type") & c.isNotNull(), c))
-            steps.append((here & (F.col("__act") == "remove_outlier") & P.outlier_range(c),
+            if proposed and f.name in vocab.TYPICAL_QUARTILES:
+                value_of = F.col("__val").try_cast(f.dataType.simpleString())
+                steps.append((here & (F.col("__act") == "remove_outlier") & value_of.isNotNull()
+                              & P.outlier_fixed(c, *vocab.TYPICAL_QUARTILES[f.name]), value_of))
+            bare = F.col("__val").isNull() if proposed else F.lit(True)
+            steps.append((here & (F.col("__act") == "remove_outlier") & bare & P.outlier_range(c),
                           F.lit(vocab.RANGE_REPLACEMENT).cast(f.dataType)))
         value = None
         for cond, result in steps:

@@ -144,15 +144,25 @@ def fuzzy_category(c: Column, known: Sequence[str], threshold: float = vocab.FUZ
 
 def fix_category_fuzzy(df: DataFrame, c: str, known: Sequence[str] | None = None,
                        threshold: float = vocab.FUZZY_THRESHOLD) -> DataFrame:
+    """Closest known value per cell; a long list is taken as a table and met through shared tokens."""
+    if known is not None and len(known) > MAX_LITERAL_MAP:
+        from tidemark.operators.fuzzy import closest_known
+
+        rows = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(known)], "value string, pos int")
+        return closest_known(df, c, rows, threshold)
     return df.withColumn(c, fuzzy_category(F.col(c), vocab.KNOWN_CATEGORIES[c] if known is None else known, threshold))
 
 
+def email_with_known_domain(c: Column, known: Sequence[str] | None = None) -> Column:
+    """The address with the closest known domain; what stands before the @ stays."""
+    known = vocab.KNOWN_CATEGORIES["email"] if known is None else known
+    user, domain = F.split_part(c, F.lit("@"), F.lit(1)), F.split_part(c, F.lit("@"), F.lit(2))
+    return F.when(c.contains("@"), F.concat(user, F.lit("@"), fuzzy_category(domain, known))).otherwise(c)
+
+
 def fix_email_domain(df: DataFrame, c: str = "email", known: Sequence[str] | None = None) -> DataFrame:
     """Opt-in: match the domain part only, the address before the @ stays."""
-    known = vocab.KNOWN_CATEGORIES["email"] if known is None else known
-    user, domain = F.split_part(F.col(c), F.lit("@"), F.lit(1)), F.split_part(F.col(c), F.lit("@"), F.lit(2))
-    fixed = F.concat(user, F.lit("@"), fuzzy_category(domain, known))
-    return df.withColumn(c, F.when(F.col(c).contains("@"), fixed).otherwise(F.col(c)))
+    return df.withColumn(c, email_with_known_domain(F.col(c), known))
 
 
 def replace_outlier_const(df: DataFrame, c: str, value=vocab.RANGE_REPLACEMENT, lo=vocab.RANGE_LOW,

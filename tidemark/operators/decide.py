@@ -12,7 +12,7 @@ from tidemark import vocab
 from tidemark.functions import predicates as P
 from tidemark.functions.scalars import any_issue, clamp, count_issues, first_issue_column, fixed_length
 from tidemark.functions.similarity import ratio_udf
-from tidemark.operators.clean import category_lookup, fuzzy_category
+from tidemark.operators.clean import category_lookup, email_with_known_domain, fuzzy_category
 from tidemark.operators.detect import can_handle
 
 ACTION_TYPE = "struct<action_type:string,column:string,value:string>"
@@ -89,8 +89,9 @@ def outlier_specialist(df: DataFrame, issues: Column, legal: Column | None = Non
 
 
 def category_specialist(df: DataFrame, issues: Column, legal: Column | None = None, fuzzy: bool = True,
-                        columns: Sequence[str] = ("dept", "name", "email")) -> Specialist:
-    """Closest known value of the first category column that differs from it.
+                        columns: Sequence[str] = ("dept",)) -> Specialist:
+    """Closest known value of the first category column that differs from it. Names and addresses are no categories: they are
+    looked at only where ``columns`` asks for it, and of an e-mail the domain alone is matched.
 
     With ``fuzzy=False`` only the literal category map is consulted (confidence 1), which needs no Python.
     """
@@ -100,7 +101,10 @@ def category_specialist(df: DataFrame, issues: Column, legal: Column | None = No
         if c not in df.columns:
             continue
         text = F.when(flagged, F.col(c))
-        fixed = fuzzy_category(text, vocab.KNOWN_CATEGORIES[c]) if fuzzy else category_lookup(text)
+        if fuzzy and c == "email":
+            fixed = email_with_known_domain(text)
+        else:
+            fixed = fuzzy_category(text, vocab.KNOWN_CATEGORIES[c]) if fuzzy else category_lookup(text)
         hit = flagged & F.coalesce(fixed != F.col(c), F.lit(False))
         conf = ratio_udf(lower_first=True)(F.when(hit, F.col(c)), F.when(hit, fixed)) if fuzzy else F.lit(1.0)
         p = _proposal("fix_category", c, fixed)

@@ -45,10 +45,10 @@ def generic_rules(df: DataFrame, skip: Sequence[str] = ("row_id",), mode: str =
     return rules
 
 
-def people_rules(df: DataFrame, trim: bool = False, outliers: bool = False) -> list[Rule]:
+def people_rules(df: DataFrame, trim: bool = False, outliers: bool = False, mode: str = "na") -> list[Rule]:
     """Rules of a people table (age, salary, score, name, email, dept), for the columns it has."""
     have = {f.name: f.dataType for f in df.schema.fields}
-    rules = [Rule("missing", c, P.missing(F.col(c), "na", have[c])) for c in vocab.NULLABLE_COLUMNS if c in have]
+    rules = [Rule("missing", c, P.missing(F.col(c), mode, have[c])) for c in vocab.NULLABLE_COLUMNS if c in have]
     if isinstance(have.get("score"), T.StringType):
         rules.append(Rule("wrong_type", "score", P.non_numeric_text(F.col("score"))))
     if "email" in have:

@@ -15,6 +15,7 @@ from tidemark.operators.decide import choose_action, default_specialists, recomm
 from tidemark.operators.detect import Rule, detect_issues, legal_actions, people_rules
 from tidemark.operators.quality import compare_quality
 from tidemark.operators.rewards import batch_reward
+from tidemark.session import cut
 from tidemark.sources.tables import audit_rows
 
 Step = Callable[[DataFrame], DataFrame]
@@ -93,9 +94,9 @@ def with_duplicate_issue(df: DataFrame, keys: Sequence[str], row_id: str = "row_
 
 
 def decide(df: DataFrame, rules: Sequence[Rule] | None = None, keys: Sequence[str] | None = ("name", "email"),
-           fuzzy: bool = True, history: DataFrame | None = None, first: str = "id") -> DataFrame:
+           fuzzy: bool = True, history: DataFrame | None = None, first: str = "id", mode: str = "na") -> DataFrame:
     """Issues, legal actions and one decision per row."""
-    d = detect_issues(df, people_rules(df, outliers=True) if rules is None else rules)
+    d = detect_issues(df, people_rules(df, outliers=True, mode=mode) if rules is None else rules)
     if keys:
         d = with_duplicate_issue(d, keys)
     d = d.withColumn("legal", legal_actions(F.col("issues")))
@@ -106,9 +107,12 @@ def decide(df: DataFrame, rules: Sequence[Rule] | None = None, keys: Sequence[st
 def cleaning_job(df: DataFrame, job_id: str, at: Column, rules: Sequence[Rule] | None = None,
                  keys: Sequence[str] = ("name", "email"), fuzzy: bool = True,
                  history: DataFrame | None = None) -> CleaningJob:
-    """Detect, decide, apply, log and measure."""
-    decided = decide(df, rules, keys, fuzzy, history)
-    applied = apply_decisions(decided, "decision", df.columns, keys, carry=["issues", "decision"])
+    """Detect, decide, apply, log and measure. Null, NaN and blank cells are missing alike, and what was decided is written.
+
+    Decisions are made once and written to the shared folder, and so are the applied rows; the results read those.
+    """
+    decided = cut(decide(df, rules, keys, fuzzy, history, mode="blank"), "decided")
+    applied = cut(apply_decisions(decided, "decision", df.columns, keys, carry=["issues", "decision"], proposed=True, mode="blank"), "applied")
     logged = applied.withColumns({
         "agent": F.col("decision.agent"), "confidence": F.col("decision.confidence"),
         "reward": batch_reward(F.col("action_type"), F.col("issues"))})

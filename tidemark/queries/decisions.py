@@ -76,6 +76,42 @@ def choose_action(spark, sf):
     return d.select("row_id", "decision.agent", "decision.action_type", "decision.column", "decision.value", F.round("decision.score", 6).alias("score"))
 
 
+def _cell(c: str, gap: str, more: str = "") -> str:
+    return f"CASE WHEN a = 'fill_missing' AND c = '{c}' AND {gap} THEN v{'::BIGINT' if c in ('age', 'salary') else ''} {more} ELSE {c} END AS {c}"
+
+
+def _outlying(c: str) -> str:
+    return f"WHEN a = 'remove_outlier' AND c = '{c}' AND {B._outside(c, c)} THEN v::BIGINT"
+
+
+# every row after its decided action, and whether it goes: an earlier row has the same keys after its own action
+JOB = f"""{CANDIDATES}, {_choose('0.0::DOUBLE')},
+decided AS (SELECT row_id, agent, action_type AS a, col AS c, value AS v, confidence FROM best WHERE rn = 1),
+changed AS (SELECT row_id, id, name AS k1, email AS k2, a, c, agent, confidence, issues,
+    {_cell('name', 'name IS NULL')}, {_cell('age', 'age IS NULL', _outlying('age'))}, {_cell('salary', 'salary IS NULL', _outlying('salary'))},
+    {_cell('score', 'score IS NULL')}, {_cell('dept', 'dept IS NULL', "WHEN a = 'fix_category' AND c = 'dept' AND v <> dept THEN v")}, {_cell('email', 'email IS NULL')}
+  FROM found JOIN decided USING (row_id)),
+job_firsts AS (SELECT name AS f1, email AS f2, min(row_id) AS first_id FROM changed GROUP BY 1, 2),
+done AS (SELECT n.*, a = 'remove_duplicate' AND coalesce(first_id < row_id, false) AS removed FROM changed n LEFT JOIN job_firsts ON k1 IS NOT DISTINCT FROM f1 AND k2 IS NOT DISTINCT FROM f2)"""
+
+
+def _job(spark, sf):
+    from tidemark.plans.cleaning import cleaning_job
+
+    return cleaning_job(B.dirty(spark, sf).drop("truth"), "job-1", F.lit("2026-01-01").cast("timestamp"), fuzzy=False)
+
+
+@query("job_cleaned", f"""WITH {B.DIRTY}, {JOB} SELECT row_id, id, name, age, salary, score, dept, email FROM done WHERE NOT removed""")
+def job_cleaned(spark, sf):
+    return _job(spark, sf).cleaned.select("row_id", "id", "name", "age", "salary", "score", "dept", "email")
+
+
+@query("job_audit", f"""WITH {B.DIRTY}, {JOB} SELECT 'job-1-' || row_id::VARCHAR AS id, row_id AS row_index, a AS action_type, c AS "column", agent AS agent_used, round(confidence, 6) AS confidence,
+  round(CASE WHEN a = 'skip' THEN CASE WHEN len(issues) > 0 THEN -0.05 ELSE 0.05 END ELSE 0.2 + 0.05 * least(len(issues), 3) END::DOUBLE, 6) AS reward FROM done""")
+def job_audit(spark, sf):
+    return _job(spark, sf).audit.select("id", "row_index", "action_type", "column", "agent_used", F.round("confidence", 6).alias("confidence"), F.round("reward", 6).alias("reward"))
+
+
 _last100 = """last AS (SELECT agent, avg(reward) AS a FROM (SELECT agent, reward, row_number() OVER (PARTITION BY agent ORDER BY row_id DESC) AS r FROM decisions) WHERE r <= 100 GROUP BY agent)"""
 
 

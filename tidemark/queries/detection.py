@@ -104,12 +104,12 @@ def unknown_category(spark, sf):
     return B.dirty(spark, sf).select("row_id", P.unknown_category(F.col("dept"), vocab.DEPT_OPTIONS).alias("unknown"))
 
 
-@query("unknown_category_table", """SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45)""")
+@query("unknown_category_table", """SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 49 AND p_retailprice < 950)""")
 def unknown_category_table(spark, sf):
     from tidemark.operators.joins import unmatched
 
     p = B.table(spark, sf, "part")
-    return unmatched(p, "p_brand", p.filter("p_size > 45").select("p_brand").distinct())
+    return unmatched(p, "p_brand", p.filter("p_size > 49 and p_retailprice < 950").select("p_brand").distinct())
 
 
 @query("outlier_fixed", f"""WITH {B.DIRTY} SELECT row_id, {', '.join(f"coalesce({B._outside(c, c)}, false) AS {c}_outlier" for c in ('age', 'salary'))} FROM dirty""")

@@ -97,10 +97,10 @@ def latest_per_key(spark, sf):
 _roster = ", ".join(f"('{a}')" for a in vocab.AGENTS)
 
 
-@query("agent_stats", f"""WITH {B.DECISIONS}, roster(agent) AS (VALUES {_roster}), d AS (SELECT * FROM decisions WHERE agent <> 'OutlierHandler')
+@query("agent_stats", f"""WITH {B.DECISIONS}, roster(agent) AS (VALUES {_roster}), d AS (SELECT * FROM decisions)
   SELECT roster.agent, count(d.row_id) AS usage_count, round(coalesce(avg(reward), 0), 6) AS average_reward, round(coalesce(avg((reward > 0)::INT), 0), 6) AS success_rate FROM roster LEFT JOIN d ON d.agent = roster.agent GROUP BY 1""")
 def agent_stats(spark, sf):
-    return r6(R.agent_stats(B.decisions(spark, sf, steps=False).filter("agent <> 'OutlierHandler'")), "average_reward", "success_rate")
+    return r6(R.agent_stats(B.decisions(spark, sf, steps=False)), "average_reward", "success_rate")
 
 
 @query("episode_summary", f"""WITH {B.DECISIONS}, a AS (SELECT episode, agent, count(*) AS n FROM decisions GROUP BY 1, 2), l AS (SELECT episode, string_agg(agent || '=' || n::VARCHAR, ',' ORDER BY agent) AS agent_usage FROM a GROUP BY 1)

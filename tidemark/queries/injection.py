@@ -112,9 +112,3 @@ def score_detector_tables(spark, sf):
 @query("shuffle_rows")
 def shuffle_rows(spark, sf):
     return I.shuffle_rows(B.people(spark, sf)).select("row_id", "id", "name")
-
-
-@query("people_table")
-def people_table(spark, sf):
-    n = B.table(spark, sf, "customer").count()
-    return I.people_table(spark, n)

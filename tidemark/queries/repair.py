@@ -10,9 +10,10 @@ from tidemark.operators import decide as D
 from tidemark.operators import fuzzy as Z
 from tidemark.operators import joins as J
 from tidemark.operators.actions import apply_actions, cleaned_rows, diff
+from tidemark.operators.detect import expected_action
 from tidemark.plans.cleaning import clean
 from tidemark.queries import base as B
-from tidemark.queries.detection import numberish, NUMBERISH_SQL
+from tidemark.queries.detection import numberish, NUMBERISH_SQL, SQL_EXPECTED
 from tidemark.queries.registry import query
 
 ROW = ["row_id", "id", "name", "age", "salary", "score", "dept", "email"]
@@ -144,20 +145,21 @@ def dup_exists(spark, sf):
 
 
 def name_block():
-    """Lower-case name without its last two characters: at most a hundred base rows, however many blocks."""
-    text = F.lower(F.coalesce("name", F.lit("None")))
+    """Lower-case name - the e-mail address where there is no name - without its last two characters: at most a hundred base
+    rows, however many blocks. All rows take part."""
+    text = F.lower(F.coalesce("name", F.split_part("email", F.lit("@"), F.lit(1)), F.lit("None")))
     return [F.substring(text, F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))]
 
 
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, sf):
-    d = B.dirty(spark, sf, "medium").filter(F.col("name").isNotNull())
+    d = B.dirty(spark, sf, "medium")
     return Z.fuzzy_duplicates(d, ["email", "name"], name_block(), threshold=0.97)
 
 
 @query("candidate_pairs")
 def candidate_pairs(spark, sf):
-    d = B.dirty(spark, sf, "medium").filter(F.col("email").isNotNull() & F.col("name").isNotNull())
+    d = B.dirty(spark, sf, "medium")
     return Z.candidate_pairs(d, "email", name_block(), 0.97)
 
 
@@ -234,9 +236,8 @@ def lookup_category(spark, sf):
     return J.lookup_category(B.dirty(spark, sf), "dept", m).select("row_id", "canonical")
 
 
-@query("chosen_vs_expected", f"""WITH {B.RESULTS} SELECT approach, action_type, expected, action_type = expected AS correct, count(*) AS n FROM results GROUP BY ALL""")
+@query("chosen_vs_expected", f"""WITH {B.DECISIONS} SELECT action_type, {SQL_EXPECTED} AS expected, action_type = ({SQL_EXPECTED}) AS correct, count(*) AS n FROM decisions GROUP BY ALL""")
 def chosen_vs_expected(spark, sf):
-
-    r = B.results(spark, sf)
-    d = r.withColumn("correct", F.col("action_type").eqNullSafe(F.col("expected")))
-    return d.groupBy("approach", "action_type", "expected", "correct").agg(F.count(F.lit(1)).alias("n"))
+    r = B.decisions(spark, sf, steps=False)
+    d = J.chosen_vs_expected(r.select("row_id", "action_type"), r.select("row_id", expected_action(F.col("issues")).alias("action_type")))
+    return d.groupBy("action_type", "expected", "correct").agg(F.count(F.lit(1)).alias("n"))

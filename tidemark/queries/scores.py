@@ -227,19 +227,11 @@ def email_domain(spark, sf):
     return B.dirty(spark, sf).select("row_id", S.email_domain(F.col("email")).alias("domain"))
 
 
-@query("text_ratio")
-def text_ratio(spark, sf):
-    from tidemark.functions.similarity import ratio_udf
-
-    p = B.table(spark, sf, "part").select("p_name", "p_type").distinct()
-    return p.select("p_name", "p_type", ratio_udf()("p_name", F.lower("p_type")).alias("ratio"))
-
-
 # --- sets ---------------------------------------------------------------------------------------
-@query("union_runs", f"""WITH {B.RUNS} SELECT version, final_reward, NULL::BIGINT AS file_size FROM runs WHERE difficulty = 'easy' UNION ALL SELECT version, NULL::DOUBLE, file_size FROM runs WHERE difficulty = 'hard'""")
+@query("union_runs", f"""WITH {B.RUNS} SELECT version, final_reward, NULL::BIGINT AS file_size FROM runs WHERE difficulty = 'easy' UNION ALL SELECT version, NULL::DOUBLE, file_size FROM runs WHERE difficulty <> 'easy'""")
 def union_runs(spark, sf):
     r = B.runs(spark, sf)
-    return J.union_runs(r.filter("difficulty = 'easy'").select("version", "final_reward"), r.filter("difficulty = 'hard'").select("version", "file_size"))
+    return J.union_runs(r.filter("difficulty = 'easy'").select("version", "final_reward"), r.filter("difficulty <> 'easy'").select("version", "file_size"))
 
 
 @query("distinct_values", """SELECT DISTINCT p_brand FROM part""")

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from tidemark import vocab
 from tidemark.functions import predicates as P
 from tidemark.operators.quality import quality
 
-MAX_FILE_BYTES = 100 * 1024 * 1024
 EXTENSIONS = ("csv", "json", "parquet")
 BOOLEANS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Increasing, not contiguous ids in file order; the same files and splits give the same ids."""
+    """Increasing, not contiguous ids in the order in which the partitions are read, which need not be that of the files
+    (``scan_csv`` has numbers in file order); the same files and splits give the same ids."""
     return df.select(F.monotonically_increasing_id().alias(name), "*")
 
 
@@ -46,14 +46,20 @@ def infer_types(df: DataFrame) -> T.StructType:
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
-             na_values: Sequence[str] = tuple(vocab.NA_TOKENS), row_id: bool = False) -> DataFrame:
+             na_values: Sequence[str] = tuple(vocab.NA_TOKENS), row_id: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Missing-value tokens become NULL before the columns are typed; a cell that does
-    not fit the given type becomes NULL, never an error."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    not fit the given type becomes NULL, never an error.
+
+    Large files are read in splits. ``multi_line`` allows line ends inside cells; a file is then one task. ``row_id`` numbers
+    the rows 0.. in the order of file names and of the rows in a file, however the files are split.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+             F.monotonically_increasing_id().alias("__at")] if row_id else []
     raw = raw.select(*[
-        F.when(F.col(f"`{c}`").isin(list(na_values)), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+        F.when(F.col(f"`{c}`").isin(list(na_values)), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns], *place)
     if schema is None:
-        schema = infer_types(raw)
+        schema = infer_types(raw.drop("__file", "__block", "__at"))
     elif isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     typed = []
@@ -67,8 +73,16 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
         elif not isinstance(f.dataType, T.StringType):
             c = c.try_cast(f.dataType.simpleString())
         typed.append(c.alias(f.name))
-    out = raw.select(*typed)
-    return with_row_id(out) if row_id else out
+    return _numbered(raw, typed) if row_id else raw.select(*typed)
+
+
+def _numbered(raw: DataFrame, columns: list, name: str = "row_id") -> DataFrame:
+    """Rows numbered in file order. Spark packs splits by size, so a split's first number comes from the counts of the
+    splits before it: a small table, a row per split. The rows themselves are not moved."""
+    splits = raw.groupBy("__file", "__block").agg(F.min("__at").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__block", "__least", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return raw.join(offsets, ["__file", "__block"]).select((F.col("__before") + F.col("__at") - F.col("__least")).alias(name), *columns)
 
 
 def scan_parquet(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -83,7 +97,7 @@ def scan_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructTy
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """By extension."""
-    kind = path.rsplit(".", 1)[-1].lower()
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         return scan_csv(spark, path)
     if kind == "json":
@@ -93,29 +107,47 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported dataset format: {kind}")
 
 
-def dataset_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, size, modified, accepted: file metadata only, no content is read."""
-    meta = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
-    kind = F.lower(F.substring_index("path", ".", -1))
-    return meta.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-                       (kind.isin(*EXTENSIONS) & (F.col("length") <= MAX_FILE_BYTES)).alias("accepted"))
+def dataset_files(spark: SparkSession, paths: Sequence[str], max_bytes: int | None = None) -> DataFrame:
+    """One row per dataset - a file or a folder of files: file, size, modified, accepted, reason. Metadata only.
+
+    ``max_bytes`` is an upload rule of the caller's; without it any size is accepted.
+    """
+    out = None
+    for p in paths:
+        kind = p.rstrip("/").rsplit(".", 1)[-1].lower()
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).agg(
+            F.coalesce(F.sum("length"), F.lit(0)).alias("size"), F.max("modificationTime").alias("modified"))
+        reason = F.when(F.lit(kind not in EXTENSIONS), F.lit("unknown extension"))
+        if max_bytes is not None:
+            reason = reason.when(F.col("size") > max_bytes, F.lit("too large"))
+        one = sizes.select(F.lit(p).alias("file"), "size", "modified", reason.isNull().alias("accepted"), reason.alias("reason"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no dataset given")
+    return out
+
 
+def dataset_catalog(spark: SparkSession, paths: Sequence[str], max_bytes: int | None = None) -> DataFrame:
+    """One row per dataset: file, columns, rows, missing_pct, duplicates, quality_score, size, accepted, reason.
 
-def dataset_catalog(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One row per accepted file: path, size, columns, rows, missing_pct, duplicates, quality_score."""
-    known = [p for p in paths if p.rsplit(".", 1)[-1].lower() in EXTENSIONS]
-    if not known:
-        raise ValueError("no dataset with a supported extension")
+    Datasets that are not accepted keep their row, without the figures; their content is not read. The list of
+    datasets is the caller's; a folder of part files is one dataset.
+    """
+    files = dataset_files(spark, paths, max_bytes)
+    taken = {r.file for r in files.where("accepted").select("file").collect()} if max_bytes is not None else {
+        p for p in paths if p.rstrip("/").rsplit(".", 1)[-1].lower() in EXTENSIONS}
     out = None
-    for p in known:
+    for p in paths:
+        if p not in taken:
+            continue
         df = scan(spark, p)
         one = quality(df, skip=()).select(
             F.lit(p).alias("file"), F.lit(",".join(df.columns)).alias("columns"), "rows", "missing_pct", "duplicates",
             "quality_score")
         out = one if out is None else out.unionByName(one)
-    files = dataset_files(spark, known).filter("accepted").withColumn(
-        "file", F.regexp_replace("path", "^file:/*", "/"))
-    return out.join(files.select("file", "size"), "file")
+    if out is None:
+        out = spark.createDataFrame([], "file string, columns string, rows long, missing_pct double, duplicates long, quality_score double")
+    return out.join(files.select("file", "size", "accepted", "reason"), "file", "right")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

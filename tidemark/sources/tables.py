@@ -9,8 +9,8 @@ AUDIT_COLUMNS = ["id", "job_id", "action_type", "row_index", "column", "old_valu
 AUDIT_BUCKETS = 64
 
 
-def _bucket(job_id: Column) -> Column:
-    return F.pmod(F.xxhash64(job_id.cast("string")), F.lit(AUDIT_BUCKETS)).cast("int")
+def _bucket(job_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(job_id.cast("string")), F.lit(buckets)).cast("int")
 
 
 def audit_rows(actions: DataFrame, job_id, at: Column) -> DataFrame:
@@ -27,18 +27,19 @@ def audit_rows(actions: DataFrame, job_id, at: Column) -> DataFrame:
         at.alias("timestamp"))
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """Append audit rows. Folders are a fixed number of job buckets, so their count does not grow with the
-    jobs; rows are rebalanced over them and large buckets split, so a huge job makes several files."""
-    audit.withColumn("job_bucket", _bucket(F.col("job_id"))).hint("rebalance", "job_bucket").write.mode("append") \
-        .partitionBy("job_bucket").parquet(path)
+def append_audit(audit: DataFrame, path: str, buckets: int = AUDIT_BUCKETS) -> None:
+    """Append audit rows. Folders are job buckets, so their count does not grow with the jobs: choose ``buckets`` when the log
+    is begun and keep it. Rows are rebalanced over them and large buckets split, so a huge job makes several files; within
+    a file rows are sorted by job, so a job's lookup skips the row groups of others."""
+    audit.withColumn("job_bucket", _bucket(F.col("job_id"), buckets)).hint("rebalance", "job_bucket") \
+        .sortWithinPartitions("job_bucket", "job_id").write.mode("append").partitionBy("job_bucket").parquet(path)
 
 
-def read_audit(spark: SparkSession, path: str, job_id=None) -> DataFrame:
-    """The log, or one job's part of it: only that job's bucket is opened."""
+def read_audit(spark: SparkSession, path: str, job_id=None, buckets: int = AUDIT_BUCKETS) -> DataFrame:
+    """The log, or one job's part of it: only that job's bucket is opened. ``buckets`` is what the log was begun with."""
     df = spark.read.parquet(path)
     if job_id is not None:
-        df = df.filter((F.col("job_bucket") == _bucket(F.lit(str(job_id)))) & (F.col("job_id") == str(job_id)))
+        df = df.filter((F.col("job_bucket") == _bucket(F.lit(str(job_id)), buckets)) & (F.col("job_id") == str(job_id)))
     return df.drop("job_bucket")
 
 

@@ -66,7 +66,8 @@ def stream_quality(sdf: DataFrame, ts: str, value: str, window: str, delay: str
     return window_quality(with_event_time(sdf, ts, delay), ts, value, window, slide, by)
 
 
-def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vocab.HISTORY_LENGTH) -> StreamingQuery:
+def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vocab.HISTORY_LENGTH,
+                         trigger: dict | None = None) -> StreamingQuery:
     """Keep the newest n rewards per agent (agent, row_id, reward) as a snapshot table per micro-batch.
 
     A batch is cut down to n rows per agent and task before anything is exchanged, so an agent that makes
@@ -81,7 +82,7 @@ def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vo
         newest(rows, n).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return (sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def newest(rows: DataFrame, n: int) -> DataFrame:
@@ -93,13 +94,13 @@ def snapshot_averages(spark: SparkSession, path: str, version: int) -> DataFrame
     return last_rewards(spark.read.parquet(f"{path}/v{version}"))
 
 
-def stream_audit(sdf: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_audit(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Audit rows into one folder per batch; a repeated batch overwrites its own folder only."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def stream_sessions(sdf: DataFrame, key: str, ts: str, gap: str, delay: str = "10 minutes") -> DataFrame:
