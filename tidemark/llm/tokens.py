@@ -10,15 +10,19 @@ from __future__ import annotations
 import array
 import sys
 
-KEEP = 400_000
+from tidemark.llm.common import ship, worker_store
 
-_stores: dict[str, Encoder] = {}
+KEEP = 400_000
+#: ASCII punctuation but the apostrophe, which may begin a word.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _stores:
-        _stores[path] = Encoder(path)
-    return _stores[path]
+    """The worker's encoder for a tokenizer file."""
+    store = worker_store("encoders")
+    if path not in store:
+        store[path] = Encoder(path)
+    return store[path]
 
 
 class Encoder:
@@ -35,6 +39,8 @@ class Encoder:
         self.keep = keep
         # the tokenizer that keeps white space: a word takes the blank before it along
         self.blank_joins = self.whole("a b") != self.whole("a") + self.whole("b")
+        self.line_end = self.whole("\n")
+        self.whole_only = any(" " in s or "\n" in s for s in self.special)
 
     def whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -46,43 +52,53 @@ class Encoder:
             a.byteswap()
         return a.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece between blanks, by the library's own steps, so that words with other punctuation share."""
-        if any(s in piece for s in self.special):
-            return self.whole(piece)
+    def _steps(self, piece: str) -> bytes:
+        """The ids of a piece by the library's own steps, so that words beside other punctuation share."""
         t = self.tokenizer
         text = t.normalizer.normalize_str(piece) if t.normalizer else piece
-        out = []
-        for part, _ in t.pre_tokenizer.pre_tokenize_str(text):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._bytes([x.id for x in t.model.tokenize(part)])
-                if len(self.parts) < self.keep:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._bytes([x.id for x in t.model.tokenize(part)]) for part, _ in t.pre_tokenizer.pre_tokenize_str(text)])
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._steps(part)
+            if len(self.parts) < 2 * self.keep and len(part) <= 64:
+                self.parts[part] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece between blanks. Letters and the punctuation after them are words of their own, and so is a line end
+        between two words."""
+        core = piece.rstrip(TAIL)
+        if core.isalpha() or core[:1] == " " and core[1:].isalpha():
+            ids = self._part(core)
+            if len(core) < len(piece):
+                ids += self._part(piece[len(core):])
+        elif self.blank_joins and "\n" in piece and all(w and w == w.rstrip() and (not i or w == w.lstrip()) for i, w in enumerate(piece.split("\n"))):
+            return self.line_end.join([self.known.get(w) or self._piece(w) for w in piece.split("\n")])
+        elif any(s in piece for s in self.special):
+            return self.whole(piece)
+        else:
+            ids = self._steps(piece)
+        if len(self.known) < self.keep and len(piece) <= 64:
+            self.known[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """All ids of the text, as little-endian unsigned 32-bit integers."""
+        if self.whole_only:
+            return self.whole(text)
         if self.blank_joins:
             if "  " in text:  # runs of blanks are tokens of their own
                 return self.whole(text)
             first, *rest = text.split(" ")
-            pieces = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-            if any(" " in s for s in self.special):
-                return self.whole(text)
+            pieces = [" " + w for w in rest]
+            if first:
+                pieces.insert(0, first)
         else:
-            pieces = text.split(" ")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            out = []
-            for p in pieces:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self._piece(p)
-                    if len(known) < self.keep and len(p) <= 64:
-                        known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+            pieces = text.replace("\n", " ").split(" ")
+        get, piece = self.known.get, self._piece
+        return b"".join([get(p) or piece(p) for p in pieces])
+
+
+ship(__name__)
