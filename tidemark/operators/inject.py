@@ -221,9 +221,10 @@ def make_episodes(df: DataFrame, n: int, level: str = "hard", key: str = "row_id
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str = "row_id", name: str = "row_id", width: int = 2**24) -> DataFrame:
-    """New row numbers 1..n in hash order; no global sort in one task."""
-    h = df.withColumn("__h", F.shiftleft(hash32(F.lit(str(seed)), F.lit("shuffle"), F.col(key)), 20)
-                      + F.pmod(F.xxhash64(F.col(key)), F.lit(2**20)))
+    """New row numbers 1..n in the order of the keys' md5 (its first 52 bits; keys that share them come in some order).
+    No global sort in one task."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("shuffle"), F.col(key).cast("string")).cast("binary"))
+    h = df.withColumn("__h", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
     return with_rank(h, [], "__h", width=width * 2**8, name="__new").withColumn(name, F.col("__new")).drop("__h", "__new")
 
 

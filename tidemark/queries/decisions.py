@@ -44,6 +44,14 @@ cand AS (
 scored0 AS (SELECT *, CASE WHEN matching > 0 THEN least(1.0::DOUBLE, 0.3::DOUBLE + matching * 0.2::DOUBLE) ELSE 0.0::DOUBLE END AS expertise FROM cand)"""
 
 
+# fixed values: the share of text that a misspelled department has in common with the closest known one
+DEPT_RATIOS = {"enginering": "20 / 21", "salse": "4 / 5", "marketting": "18 / 19", "h.r": "4 / 5", "financ": "12 / 13"}
+# the same with the closest known value instead of the literal map
+FUZZY_CANDIDATES = CANDIDATES.replace(_map_case, "CASE dept " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in vocab.DEPT_TYPOS.items()) + " END") \
+    .replace(f"dept IN ({MAPPED})", "dept IN (" + ", ".join(f"'{v}'" for v in vocab.DEPT_TYPOS.values()) + ")") \
+    .replace(" END, 1.0, ", " END, CASE dept " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in DEPT_RATIOS.items()) + " END, ")
+
+
 def candidates(spark, sf):
     f = found_all(spark, sf)
     f = f.withColumn("legal", legal_actions(F.col("issues")))
@@ -57,11 +65,11 @@ def recommend(spark, sf):
                     F.round("c.expertise", 6).alias("expertise"))
 
 
-@query("recommend_fuzzy")
+@query("recommend_fuzzy", f"""WITH {B.DIRTY}, {FUZZY_CANDIDATES} SELECT row_id, agent, action_type, col AS "column", value, round(confidence, 6) AS confidence FROM scored0""")
 def recommend_fuzzy(spark, sf):
     f = found_all(spark, sf).withColumn("legal", legal_actions(F.col("issues")))
     c = D.recommend(f, D.default_specialists(f, F.col("issues"), F.col("legal"))).select("row_id", F.explode_outer("candidates").alias("c"))
-    return c.groupBy("c.agent", "c.action_type", "c.column").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("row_id", "c.agent", "c.action_type", "c.column", "c.value", F.round("c.confidence", 6).alias("confidence"))
 
 
 def _choose(history: str) -> str:
@@ -253,8 +261,8 @@ def decision_accuracy_query(spark, sf):
     return decision_accuracy(d).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("decide_fuzzy")
+@query("decide_fuzzy", f"""WITH {B.DIRTY}, {FUZZY_CANDIDATES}, {_choose('0.0::DOUBLE')}
+  SELECT row_id, agent, action_type, col AS "column", value, round(score, 6) AS score FROM best WHERE rn = 1""")
 def decide_fuzzy(spark, sf):
     d = decide(B.dirty(spark, sf).drop("truth"))
-    return d.groupBy("decision.agent", "decision.action_type", "decision.column").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("decision.score"), 6).alias("score"))
+    return d.select("row_id", "decision.agent", "decision.action_type", "decision.column", "decision.value", F.round("decision.score", 6).alias("score"))

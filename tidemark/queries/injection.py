@@ -109,6 +109,6 @@ def score_detector_tables(spark, sf):
     return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", f"""WITH {B.PEOPLE} SELECT row_number() OVER (ORDER BY substr(md5('42|shuffle|' || row_id::VARCHAR), 1, 13), row_id) AS row_id, id, name FROM people""")
 def shuffle_rows(spark, sf):
     return I.shuffle_rows(B.people(spark, sf)).select("row_id", "id", "name")

@@ -85,15 +85,19 @@ def fix_category_map(spark, sf):
     return C.fix_category_map(B.dirty(spark, sf), "dept").select("row_id", "dept")
 
 
-@query("fix_category_fuzzy")
+# what the closest known value is for every dirty value of the closed sets (0.7 and more of the text in common)
+_dept_fixed = "CASE dept " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in vocab.DEPT_TYPOS.items()) + " ELSE dept END"
+_domain_fixed = "CASE split_part(email, '@', 2) " + " ".join(f"WHEN '{d}.com' THEN '{d}'" for d in vocab.KNOWN_CATEGORIES["email"]) + " ELSE split_part(email, '@', 2) END"
+
+
+@query("fix_category_fuzzy", f"""WITH {B.DIRTY} SELECT row_id, {_dept_fixed} AS dept FROM dirty""")
 def fix_category_fuzzy(spark, sf):
-    return C.fix_category_fuzzy(B.dirty(spark, sf), "dept").groupBy("dept").agg(F.count(F.lit(1)).alias("n"))
+    return C.fix_category_fuzzy(B.dirty(spark, sf), "dept").select("row_id", "dept")
 
 
-@query("fix_email_domain")
+@query("fix_email_domain", f"""WITH {B.DIRTY} SELECT row_id, CASE WHEN contains(email, '@') THEN split_part(email, '@', 1) || '@' || {_domain_fixed} ELSE email END AS email FROM dirty""")
 def fix_email_domain(spark, sf):
-    d = C.fix_email_domain(B.dirty(spark, sf))
-    return d.groupBy(F.split_part("email", F.lit("@"), F.lit(2)).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return C.fix_email_domain(B.dirty(spark, sf)).select("row_id", "email")
 
 
 @query("replace_outlier_const", f"""WITH {B.DIRTY} SELECT row_id, CASE WHEN salary > 200000 OR salary < 0 THEN 70000 ELSE salary END AS salary FROM dirty""")
