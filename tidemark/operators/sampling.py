@@ -72,7 +72,14 @@ def sample_prioritized(df: DataFrame, n: int, alpha: float = 0.6, beta: float =
     upto = F.sum("__chance").over(Window.partitionBy("__piece").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     wanted = d.join(placed.select("__piece").distinct(), "__piece", "left_semi")
     rows = wanted.withColumn("__to", upto.cast("decimal(38,0)")).withColumn("__from", F.col("__to") - F.col("__chance"))
-    hit = rows.join(placed, "__piece").filter((F.col("__off") >= F.col("__from")) & (F.col("__off") < F.col("__to")))
+    # the same within a piece: rows and draws in one ordered list, each draw takes the row whose stretch it falls into
+    row = F.struct(*df.columns, "__chance")
+    listed = rows.select("__piece", F.col("__from").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("draw"),
+                         row.alias("__row"))
+    listed = listed.unionByName(placed.select("__piece", F.col("__off").alias("__at"), F.lit(1).alias("__kind"), "draw",
+                                              F.lit(None).cast(listed.schema["__row"].dataType).alias("__row")))
+    inside = Window.partitionBy("__piece").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    hit = listed.withColumn("__row", F.last("__row", True).over(inside)).filter(F.col("__kind") == 1).select("draw", "__row.*")
     p = F.col("__chance").cast("double") / F.col("__s.t").cast("double")
     weighted = hit.withColumn("__s", total.scalar()).withColumn("__w", F.pow(F.col("__s.n") * p, -beta))
     top = weighted.agg(F.max("__w")).scalar()

@@ -271,10 +271,16 @@ def sample_uniform(spark, sf):
     return K.sample_uniform(B.decisions(spark, sf, steps=False), 64).select("row_id", "reward")
 
 
-@query("sample_prioritized")
+@query("sample_prioritized", f"""WITH {B.DECISIONS},
+  d AS (SELECT row_id, confidence + 0.01::DOUBLE AS priority, greatest(round(pow(confidence + 0.01::DOUBLE, 0.6::DOUBLE) * 1e6::DOUBLE), 1)::HUGEINT AS chance FROM decisions),
+  r AS (SELECT *, sum(chance) OVER (ORDER BY row_id) AS upto, sum(chance) OVER () AS total, count(*) OVER () AS n FROM d),
+  u AS (SELECT range AS draw, floor(({B.sql_hash("'42'", "'draw'", "range::VARCHAR")} * 1048576 + {B.sql_hash("'42'", "'draw_low'", "range::VARCHAR")} % 1048576)::DOUBLE / 4503599627370496.0::DOUBLE
+      * (SELECT sum(chance) FROM d)::DOUBLE)::HUGEINT AS place FROM range(256)),
+  hit AS (SELECT draw, row_id, priority, pow(n * (chance::DOUBLE / total::DOUBLE), -0.4::DOUBLE) AS w FROM u JOIN r ON place >= upto - chance AND place < upto)
+  SELECT draw, row_id, round(priority, 8) AS priority, round(w / max(w) OVER (), 6) AS weight FROM hit""")
 def sample_prioritized(spark, sf):
     d = B.decisions(spark, sf, steps=False).select("row_id", "reward", (F.col("confidence") + 0.01).alias("priority"))
-    return K.sample_prioritized(d, 256).select("draw", "row_id", "priority", "weight")
+    return K.sample_prioritized(d, 256).select("draw", "row_id", F.round("priority", 8).alias("priority"), F.round("weight", 6).alias("weight"))
 
 
 @query("update_priorities", f"""WITH {B.DECISIONS}, u AS (SELECT row_id AS k, reward AS td FROM decisions WHERE row_id % 3 = 0) SELECT row_id, round(coalesce(abs(td) + 1e-6::DOUBLE, confidence), 8) AS priority FROM decisions LEFT JOIN u ON k = row_id""")
