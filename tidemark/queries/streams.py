@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import inject as I
 
 from tidemark.queries import base as B
+from tidemark.queries.decisions import _choose, FUZZY_CANDIDATES
 from tidemark.queries.registry import query
 from tidemark.queries.repair import SQL_FILLED, SQL_MAP, WS, _lenient
 from tidemark.session import scratch_path
 from tidemark.streaming import streams as T
 
 _SINGLE = B.PEOPLE + ",\n" + B.sql_dirty("hard", duplicates=False)
+_OPEN = f"found AS (SELECT *, {B.sql_list(*B.PEOPLE_ISSUES, *B.OUTLIER_ISSUES)} AS issues FROM dirty)"
 _CLEAN = f"""{_SINGLE}, {B.ISSUES}, ff AS (SELECT {SQL_FILLED}, array_to_string(issues, ',') AS issues FROM found)
   SELECT row_id, name, issues, CASE WHEN {B._outside('age', 'age')} THEN 35 ELSE age END AS age, CASE WHEN salary > 200000 OR salary < 0 THEN 70000 ELSE salary END AS salary,
     CASE WHEN {B._outside(_lenient, 'score')} THEN 80.0 ELSE {_lenient} END::DOUBLE AS score, {SQL_MAP.format(c='dept')} AS dept, trim(lower(email), {WS}) AS email FROM ff"""
@@ -34,6 +36,25 @@ def stream_clean(spark, sf):
     return out.withColumn("issues", F.array_join("issues", ",")).select(_CLEAN_COLS)
 
 
+_DECIDE = f"""{_SINGLE}, {FUZZY_CANDIDATES.replace(B.ALL_ISSUES, _OPEN)}, {_choose('0.0::DOUBLE')}
+  SELECT row_id, agent, action_type, col AS "column", value, round(score, 6) AS score FROM best WHERE rn = 1"""
+
+
+def _decision(df):
+    return df.select("row_id", "decision.agent", "decision.action_type", "decision.column", "decision.value", F.round("decision.score", 6).alias("score"))
+
+
+@query("stream_decide", f"WITH {_DECIDE}")
+def stream_decide(spark, sf):
+    s = T.stream_decide(_dirty_single(B.people_of(T.stream_table(spark, sf, "customer"))).drop("truth"))
+    return _decision(T.run_available(s, scratch_path(spark, "decide"), scratch_path(spark, "state")))
+
+
+@query("stream_decide_batch_twin", f"WITH {_DECIDE}")
+def stream_decide_batch_twin(spark, sf):
+    return _decision(T.stream_decide(_dirty_single(B.people(spark, sf)).drop("truth")))
+
+
 @query("stream_clean_batch_twin", f"WITH {_CLEAN}")
 def stream_clean_batch_twin(spark, sf):
     out = T.stream_clean(_dirty_single(B.people(spark, sf)), "hard")

@@ -13,7 +13,7 @@ from tidemark.functions import predicates as P
 from tidemark.operators.detect import Rule, detect_issues, people_rules
 from tidemark.operators.history import last_rewards
 from tidemark.operators.segments import DEFAULT_WIDTH, over_pieces, with_rank, with_running
-from tidemark.plans.cleaning import clean, stateless
+from tidemark.plans.cleaning import clean, decide, stateless
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +23,8 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def run_available(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there, into files, and give back what was written."""
+    """Process what is there, into files, and give back what was written (for queries and backfills; a running stream is
+    started with the caller's own trigger)."""
     q = (sdf.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(path))
     q.awaitTermination()
@@ -43,6 +44,13 @@ def stream_clean(sdf: DataFrame, plan: str = "hard", rules: Sequence[Rule] | Non
     return clean(found, stateless(plan))
 
 
+def stream_decide(sdf: DataFrame, plan: str = "hard", fuzzy: bool = True, history: DataFrame | None = None) -> DataFrame:
+    """Issues, one decision per row (duplicates need other rows, so none are marked here), then the stateless steps of the plan.
+    ``history`` is a static table of agents' rewards, such as a snapshot of ``stream_agent_history``."""
+    decided = decide(sdf, people_rules(sdf, outliers=True), None, fuzzy, history)
+    return clean(decided.drop("legal"), stateless(plan))
+
+
 def stream_dedupe(sdf: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
     """Drop re-arrivals within the delay; rows later than the watermark are dropped."""
     return with_event_time(sdf, ts, delay).dropDuplicatesWithinWatermark(list(keys))
