@@ -260,6 +260,16 @@ def masked_argmax(scores: Column, legal: Column, actions: Sequence[str] = vocab.
         F.struct(F.lit("skip").alias("action"), F.lit(0.0).alias("confidence")))
 
 
+def policy_action(scores: Column, legal: Column, actions: Sequence[str] = vocab.ACTIONS) -> Column:
+    """The policy's choice as an action: struct (action_type, column, value, confidence)."""
+    best = masked_argmax(scores, legal, actions)
+    columns = F.create_map(*[F.lit(x) for a, (c, _) in vocab.POLICY_TARGETS.items() for x in (a, c)])
+    values = F.create_map(*[F.lit(x) for a, (_, v) in vocab.POLICY_TARGETS.items() if v is not None for x in (a, v)])
+    action = best["action"]
+    return F.struct(action.alias("action_type"), F.coalesce(columns[action], F.lit("id")).alias("column"), values[action].alias("value"),
+                    best["confidence"].alias("confidence"))
+
+
 def route(confidence: Column, high: float = 0.8) -> Column:
     """Confident rows go to the learned policy, the rest to the rules."""
     return F.when(confidence > high, F.lit("policy")).otherwise(F.lit("rules"))

@@ -217,12 +217,15 @@ _acts = ", ".join(f"'{a}'" for a in vocab.ACTIONS)
 
 @query("masked_argmax", f"""WITH s AS (SELECT vec_id, embedding[1:7] AS q, list_filter([{_acts}], lambda a, i: (vec_id + label) % (i + 1) = 0) AS legal FROM embeddings),
   o AS (SELECT vec_id, q, list_filter([{', '.join(f"{{'q': -(q[{i + 1}]::DOUBLE), 'i': {i}, 'a': '{a}'}}" for i, a in enumerate(vocab.ACTIONS))}], lambda x: list_contains(legal, x.a)) AS o FROM s)
-  SELECT vec_id, CASE WHEN len(o) > 0 THEN list_sort(o)[1].a ELSE 'skip' END AS action, round(CASE WHEN len(o) > 0 THEN least(1, list_max(q)::DOUBLE / 10) ELSE 0 END, 6) AS confidence FROM o""")
+  , b AS (SELECT vec_id, CASE WHEN len(o) > 0 THEN list_sort(o)[1].a ELSE 'skip' END AS action, round(CASE WHEN len(o) > 0 THEN least(1, list_max(q)::DOUBLE / 10) ELSE 0 END, 6) AS confidence FROM o)
+  SELECT vec_id, action, CASE action {' '.join(f"WHEN '{a}' THEN '{c}'" for a, (c, _) in vocab.POLICY_TARGETS.items())} END AS "column",
+    CASE action {' '.join(f"WHEN '{a}' THEN '{v}'" for a, (_, v) in vocab.POLICY_TARGETS.items() if v)} END AS value, confidence FROM b""")
 def masked_argmax(spark, sf):
     e = B.table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 7).alias("q"))
     legal = F.filter(F.array(*[F.lit(a) for a in vocab.ACTIONS]), lambda a, i: (F.col("vec_id") + F.col("label")) % (i + 2) == 0)
-    best = D.masked_argmax(F.col("q"), legal)
-    return e.select("vec_id", best["action"].alias("action"), F.round(best["confidence"], 6).alias("confidence"))
+    best = D.policy_action(F.col("q"), legal)
+    return e.select("vec_id", best["action_type"].alias("action"), best["column"].alias("column"), best["value"].alias("value"),
+                    F.round(best["confidence"], 6).alias("confidence"))
 
 
 @query("route", f"""WITH {B.DECISIONS} SELECT row_id, CASE WHEN confidence > 0.8 THEN 'policy' ELSE 'rules' END AS route FROM decisions""")

@@ -62,6 +62,16 @@ KNOWN_CATEGORIES = {
     "email": ["gmail.com", "yahoo.com", "company.com"],
 }
 FUZZY_THRESHOLD = 0.7
+# fixed values: column and value of the action that a learned policy names
+POLICY_TARGETS = {
+    "skip": ("id", None),
+    "fill_missing": ("age", "30"),
+    "remove_duplicate": ("id", None),
+    "remove_outlier": ("age", "35"),
+    "fix_category": ("dept", "engineering"),
+    "fix_type": ("score", None),
+    "fix_formatting": ("email", None),
+}
 
 # --- fixed values: rewards ----------------------------------------------------------------
 STEP_REWARDS = {  # action -> (reward when it took effect, reward when it did not)
