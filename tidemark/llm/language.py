@@ -159,14 +159,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         train_docs: int = TRAIN_DOCS) -> Model | None:
     """Models of all languages named in the rows where ``learn`` holds; None where there is none."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
-    chosen = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).withColumn(
-        "__n", F.row_number().over(first)).where(F.col("__n") <= train_docs).select("__id", "__lang")
-    seen = chosen.select("__lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    seen = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if not seen:
         return None
-    if seen > MOST_LANGUAGES:
+    if len(seen) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # the hash alone keeps about twice as many rows of a language as are wanted; only those are ranked
+    space = 1 << 40
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(space))
+    wanted = F.create_map(*[x for r in seen for x in (F.lit(r[0]), F.lit(space if r.n <= 2 * train_docs else 2 * train_docs * space // r.n))])
+    first = Window.partitionBy("__lang").orderBy("__place", "__id")
+    chosen = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), place.alias("__place")).where(
+        F.col("__place") < wanted[F.col("__lang")]).withColumn("__n", F.row_number().over(first)).where(
+        F.col("__n") <= train_docs).select("__id", "__lang")
     sample = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select(
         F.col("__lang").alias("lang"), F.col(text_col).alias("text"))
 

@@ -236,8 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         train_docs: int = TRAIN_DOCS) -> Model:
     """A model from labelled rows for which ``learn`` (over the labels' ids) holds. Of several labels the largest counts; null
     labels teach nothing. Without both classes the model has no terms and scores every text 0."""
-    chosen = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
-        F.max((F.col(label_col) > 0).cast("int")).alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(train_docs)
+    known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__toxic"))
+    # the hash alone keeps about twice as many rows as are wanted; only those are put in order
+    count, space = known.count(), 1 << 40
+    place = F.pmod(F.xxhash64("__id"), F.lit(space))
+    chosen = known.where(place < (space if count <= 2 * train_docs else 2 * train_docs * space // count)).groupBy("__id").agg(
+        F.max("__toxic").alias("__toxic")).orderBy(place, "__id").limit(train_docs)
     sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
         F.col("__toxic").alias("toxic"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = sample.agg(F.sum("toxic").alias("yes"), F.count(F.lit(1)).alias("n")).first()
