@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidemark.llm.exact_dedup import may_repeat
 from tidemark.session import cut, scratch_path
 
 MAGIC = "WARC/1.0\r\n"
@@ -19,19 +20,22 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, payload, bytes, digest, record_type, refers_to.
 
     Of equal payloads of at least ``least`` bytes the row with the smallest id is the response, the others revisit it;
-    smaller payloads are responses. Null payloads are empty; a null id revisits, if another row has the payload. Counting is by
-    partial aggregates on digests, so copies of one payload meet only as partial minima.
+    smaller payloads are responses. Null payloads are empty; a null id revisits, if another row has the payload. Digests are
+    counted with partial sums; a bitmap of fixed size tells the scan which may repeat, so a payload that occurs once is
+    not shuffled, and the others meet a table of repeated digests.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumns(
         {"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    # only payloads that occur more than once send their rows to a join, by a table of repeated digests
-    first = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    kinds = rows.select("page_id", "digest", "bytes").join(first, "digest").where((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("__first"))).select(
-        F.col("page_id").alias("__id"), "__first").distinct()
-    joined = rows.join(kinds, rows["page_id"].eqNullSafe(kinds["__id"]), "left")
-    return joined.select("page_id", "url", "payload", "bytes", "digest",
-                         F.when(F.col("__first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("__first").alias("refers_to"))
+    large = rows.where(F.col("bytes") >= least)
+    again = F.col("__again") & (F.col("bytes") >= least)
+    flagged = may_repeat(rows, ["digest"], large, "__again")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    alone = flagged.where(~again).withColumn("__first", F.lit(None).cast("long"))
+    several = flagged.where(again).join(first, "digest", "left").withColumn(
+        "__first", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first")))
+    return alone.unionByName(several).select("page_id", "url", "payload", "bytes", "digest",
+                                             F.when(F.col("__first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("__first").alias("refers_to"))
 
 
 def _header_text(url: Column) -> Column:
