@@ -10,7 +10,7 @@ from __future__ import annotations
 import array
 import sys
 
-from tidemark.llm.common import ship, worker_store
+from tidemark.llm.common import LOWER, UPPER, ship, worker_store
 
 KEEP = 400_000
 #: ASCII punctuation but the apostrophe, which may begin a word.
@@ -40,6 +40,14 @@ class Encoder:
         # the tokenizer that keeps white space: a word takes the blank before it along
         self.blank_joins = self.whole("a b") != self.whole("a") + self.whole("b")
         self.line_end = self.whole("\n")
+        # where it holds for all ASCII letters, they can go to the model in lower case, or straight after the blank's own sign
+        letters = UPPER + LOWER
+        t = self.tokenizer
+        normal = t.normalizer.normalize_str(letters) if t.normalizer else letters
+        self.folds = normal == letters.lower()
+        self.blank = t.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1] if self.blank_joins else ""
+        lead = " " if self.blank_joins else ""
+        self.plain = [x for x, _ in t.pre_tokenizer.pre_tokenize_str(lead + letters)] == [self.blank + letters]
         self.whole_only = any(" " in s or "\n" in s for s in self.special)
 
     def whole(self, text: str) -> bytes:
@@ -55,6 +63,9 @@ class Encoder:
     def _steps(self, piece: str) -> bytes:
         """The ids of a piece by the library's own steps, so that words beside other punctuation share."""
         t = self.tokenizer
+        if self.plain and piece.isascii() and piece.lstrip(" ").isalpha() and (self.folds or not t.normalizer):
+            word = piece.lower() if self.folds else piece
+            return self._bytes([x.id for x in t.model.tokenize(word.replace(" ", self.blank))])
         text = t.normalizer.normalize_str(piece) if t.normalizer else piece
         return b"".join([self._bytes([x.id for x in t.model.tokenize(part)]) for part, _ in t.pre_tokenizer.pre_tokenize_str(text)])
 
@@ -71,7 +82,7 @@ class Encoder:
         between two words."""
         core = piece.rstrip(TAIL)
         if core.isalpha() or core[:1] == " " and core[1:].isalpha():
-            ids = self._part(core)
+            ids = self._part(core.lower() if self.folds and max(core) < "\u0250" else core)
             if len(core) < len(piece):
                 ids += self._part(piece[len(core):])
         elif self.blank_joins and "\n" in piece and all(w and w == w.rstrip() and (not i or w == w.lstrip()) for i, w in enumerate(piece.split("\n"))):
