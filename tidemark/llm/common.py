@@ -42,6 +42,11 @@ def crc_mod(id_: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``__row``, written to the shared folder so that it stays the same."""
+    return cut(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds, per name in ``sums``, the total of that value over all rows up to and with this one in ``order``.
 
