@@ -43,3 +43,9 @@ def test_null_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(df).collect()), key=str)
     assert got == sorted([(None, 1, 2, False), (None, None, 1, True), (1, 1, 2, True), (2, 2, 2, True), (2, 2, 2, True)], key=str)
     assert keep_one(df).where("text = 'only'").count() == 1
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(2, "b", None, None, None)] * 3 + [(None, "n", None, None, None)] * 2 + [(5, "c", None, None, None), (5, "D", None, None, None), (9, "d", None, None, None)]
+    assert sorted((str(r.doc_id), r.text) for r in keep_one(frame(spark, rows)).collect()) == [
+        ("2", "b"), ("5", "c"), ("9", "d"), ("None", "n"), ("None", "n")]

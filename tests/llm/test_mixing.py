@@ -67,3 +67,13 @@ def test_edges(spark):
     assert [r.taken for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
     twice = frame(spark, [(1, "a b c", "en", "s", 0)] * 4)
     assert sum(r.taken for r in mixing.mix(twice).collect()) == 18
+
+
+def test_mixed_takes_repeated_and_null_ids_once_each(spark):
+    rows = [(1, "a b c", "en", "s", 5)] * 4 + [(None, "d e", "en", "s", 3), (None, "f g", "en", "s", 3), (2, "h", "en", "s", 1)]
+    out = [r.text for r in mixing.mixed(frame(spark, rows)).collect()]
+    assert sum(len(t.split()) for t in out) == round(1.5 * 17)
+    assert 4 <= sum(t.startswith("a") for t in out) <= 8 and sum(t == "a b c" for t in out) <= 8
+    assert all(1 <= sum(t.startswith(x) for t in out) <= 2 for x in "dfh")
+    many = mixing.mixed(frame(spark, [(7, "x y", "en", "s", 3)] * 500 + [(i, "x y", "en", "t", 3) for i in range(500)]))
+    assert sum(len(r.text.split()) for r in many.collect()) == 3000

@@ -52,3 +52,18 @@ def test_registered():
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_run_takes_repeated_and_null_ids(spark, tmp_path):
+    """A row that stands 40 times is taken once or twice, rows without an id are taken, and no source gives above its target."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "a plain sentence that stands nowhere else in the table and says little about anything at all"
+    odd = spark.createDataFrame([(10**6, text, "en", "odd", len(text))] * 40 + [(None, f"{text} {text[::-1]}", "en", "odd", 2 * len(text) + 1)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("source = 'odd'")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert 1 <= docs.where("doc_id IS NOT NULL").count() <= 2 and 1 <= docs.where("doc_id IS NULL").count() <= 2
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, running_totals
+from tidemark.llm.common import WORD, numbered, running_totals
 from tidemark.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -45,7 +45,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
-        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        bucket_rows: int = BUCKET_ROWS, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken and copies.
 
     ``taken`` counts the words that the mix takes of a document. A source gives as many whole epochs as fit in its
@@ -56,20 +56,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A hash range of a source, of about ``bucket_rows`` rows, is summed by itself, and the ranges' totals give what
     lies before, so a source of any size is spread over tasks. Keys come from the ids, so reruns agree. Null texts
     and texts without words have size 0 and give nothing; a null source is a source. Rows with one id and one size
-    are cut in some order. An empty table gives an empty result.
+    are cut in some order, or in that of ``row_col``, a unique key: it is given out too and stands in for a null id's hash.
+    An empty table gives an empty result.
     """
+    row = [row_col] if row_col else []
     sized = cut(docs.select(
+        *row,
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("__src"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("__key"), words(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("__hash")), "sized")
+        F.md5(F.concat(F.lit(SEED), F.coalesce(*[F.col(c).cast("string") for c in [id_col, *row]], F.lit(""))).cast("binary")).alias("__hash")), "sized")
     sources = source_targets(sized, weights, share, most).withColumn(
         "__ranges", F.ceil(F.col("docs") / bucket_rows).cast("long"))
-    keyed = sized.select("doc_id", "__key", "size", "__hash").join(sources, "__key").withColumn(
+    keyed = sized.select(*row, "doc_id", "__key", "size", "__hash").join(sources, "__key").withColumn(
         "__range", F.shiftright(F.conv(F.substring("__hash", 1, 7), 16, 10).cast("long") * F.col("__ranges"), 28))
     ranges = keyed.groupBy("__key", "__range").agg(F.sum("size").alias("__total"))
     earlier = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("__key", "__range", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
-    here = Window.partitionBy("__key", "__range").orderBy("__hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("__key", "__range").orderBy("__hash", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     words_wanted = F.round(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0).cast("long"))
     before = F.col("__offset") + F.sum("size").over(here) - F.col("size")
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             .withColumns({"__epochs": epochs, "__before": before})
             .withColumn("__part", F.greatest(F.lit(0).cast("long"), F.least(
                 F.col("size"), words_wanted - F.col("__epochs") * F.col("source_size") - F.col("__before"))))
-            .select("doc_id", "size", "source_size", "target",
+            .select(*row, "doc_id", "size", "source_size", "target",
                     (F.col("__epochs") * F.col("size") + F.col("__part")).alias("taken"),
                     F.when(F.col("size") > 0, F.col("__epochs")).otherwise(F.lit(0).cast("long")).alias("copies"),
                     F.col("__part").alias("part")))
@@ -87,13 +90,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
           weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: a row per whole copy taken, and one with the first words where a document is cut.
 
-    Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. Documents need unique ids;
-    those without an id are not taken.
+    Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. Each row has a key of
+    its own, so rows that share an id and rows without one are planned and taken like any other.
     """
-    plan = mix(docs, id_col, text_col, source_col, weights, share, most).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), (F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("__whole"),
+    keyed = numbered(docs)
+    plan = mix(keyed, id_col, text_col, source_col, weights, share, most, row_col="__row").where("taken > 0").select(
+        "__row", (F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("__whole"),
         F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(0)).alias("__part"))
-    rows = docs.join(plan, docs[id_col] == plan["__id"]).withColumn(
+    rows = keyed.join(plan, "__row").withColumn(
         "__take", F.explode(F.concat(
             F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")),
             F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")))))
