@@ -79,3 +79,29 @@ def test_candidate_pairs_keep_every_match_once(spark):
 def test_sql_name(spark):
     X.register(spark)
     assert spark.sql("SELECT ratcliff_ratio('tide', 'diet')").first()[0] == 0.25
+
+
+@pytest.mark.parametrize("t", [0.3, 0.7])
+def test_fuzzy_duplicates_over_four_columns_without_a_block(spark, t):
+    """Four columns at 0.7 leave no bound on any single one; texts may be empty."""
+    rnd = random.Random(4)
+    pools = [words(25, s, "abcdefghij", 9) + [None] for s in range(4)]
+    rows = [{"row_id": i, "g": 0, **{c: rnd.choice(pools[k]) for k, c in enumerate("abcd")}} for i in range(150)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g int, a string, b string, c string, d string")
+    got = {r.row_id: r.similarity for r in Z.fuzzy_duplicates(df, list("abcd"), threshold=t).collect()}
+    want = brute(rows, list("abcd"), "g", t)
+    assert want and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_registered_queries_keep_every_match(spark):
+    from tidemark.queries import base as B, catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = [r.asDict() | {"g": 0} for r in B.dirty(spark, sf, "medium").select("row_id", "name", "email").orderBy("row_id").collect()]
+    got = {r.row_id: r.similarity for r in catalog.QUERIES["fuzzy_duplicates"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in brute(rows, ["email", "name"], "g", 0.7).items()}
+    pairs = {tuple(r) for r in catalog.QUERIES["candidate_pairs"](spark, sf).collect()}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if SequenceMatcher(None, str(a["email"]), str(b["email"])).ratio() >= 0.7:
+                assert (a["row_id"], b["row_id"]) in pairs

@@ -148,23 +148,16 @@ def dup_exists(spark, sf):
     return C.dup_exists(B.dirty(spark, sf), ["name", "email"]).select("row_id", "name", "email")
 
 
-def name_block():
-    """Lower-case name - the e-mail address where there is no name - without its last two characters: at most a hundred base
-    rows, however many blocks. All rows take part."""
-    text = F.lower(F.coalesce("name", F.split_part("email", F.lit("@"), F.lit(1)), F.lit("None")))
-    return [F.substring(text, F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))]
-
-
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.fuzzy_duplicates(d, ["email", "name"], name_block(), threshold=0.97)
+    return Z.fuzzy_duplicates(d, ["email", "name"])
 
 
 @query("candidate_pairs")
 def candidate_pairs(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.candidate_pairs(d, "email", name_block(), 0.97)
+    return Z.candidate_pairs(d, "email", [], vocab.FUZZY_THRESHOLD)
 
 
 @query("apply_actions", f"""WITH {B.DIRTY}, act AS (
