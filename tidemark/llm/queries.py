@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import exact_dedup as dedup
-from tidemark.llm import language, mixing, packing, secrets, simhash, token_store, topk, toxicity, warc
+from tidemark.llm import language, mixing, packing, secrets, simhash, substrings, token_store, topk, toxicity, warc
 from tidemark.llm.common import ascii_lower, crc_mod, table
 
 QUERIES: dict = {}
@@ -132,4 +132,20 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), BYTE_END)
 
 
+@query("op11_substring_dedup", r"""
+    WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    n AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM l),
+    s AS (SELECT doc_id, word, i, string_agg(word, ' ') OVER a AS win, count(*) OVER a AS n
+          FROM n WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+    m AS (SELECT doc_id, word, i, n = 13 AND doc_id > min(doc_id) OVER (PARTITION BY win) AS later FROM s),
+    c AS (SELECT doc_id, word, i, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+    k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+          FROM c GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN k USING (doc_id)""")
+def op11_substring_dedup(spark, sf_dir):
+    out = substrings.drop_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
