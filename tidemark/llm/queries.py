@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import exact_dedup as dedup
-from tidemark.llm import language, mixing, packing, secrets, simhash, substrings, token_store, topk, toxicity, warc
+from tidemark.llm import language, mixing, packing, prefix_trie, secrets, simhash, substrings, token_store, topk, toxicity, warc
 from tidemark.llm.common import ascii_lower, crc_mod, table
 
 QUERIES: dict = {}
@@ -148,4 +148,39 @@ def op11_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# crc32 of the decimal id, bit by bit
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, u: xor(v >> 1, (v & 1) * 3988292384)))"""
+
+
+@query("op13_prefix_trie", rf"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p, k, words
+      FROM (SELECT *, sha256(length(r)::VARCHAR || ':' || r || x) AS k, len(regexp_extract_all(x, '[^ 	-]+')) AS words FROM t)),
+    c AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC}, 4294967295) % 4 AS h, n
+      FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
+    b AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(d.n, 0)) AS head FROM c LEFT JOIN c d ON d.conv_id = c.base),
+    r AS (
+      SELECT b.conv_id, p AS d, k, words FROM b JOIN o ON o.conv_id = b.base AND p <= head
+      UNION ALL SELECT b.conv_id, p - h + head, k, words FROM b JOIN o ON o.conv_id = b.conv_id AND p > h),
+    l AS (SELECT b.conv_id, count(k) AS n FROM b LEFT JOIN r USING (conv_id) GROUP BY b.conv_id),
+    m AS (
+      SELECT conv_id, d, words, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, n FROM r JOIN l USING (conv_id)
+      UNION ALL SELECT conv_id, 0, 0, '', n FROM l),
+    nodes AS (
+      SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved, max(n) = d AS leaf,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+      FROM m GROUP BY d, path)
+    SELECT any_value(a.conv_id) AS conv_id, a.d::BIGINT AS depth, any_value(u.conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs,
+           count(*) FILTER (s.d = a.d + 1) AS n_children, count(*) FILTER (s.leaf) AS n_leaves, sum(s.saved)::BIGINT AS saved_tokens,
+           any_value(a.ends_sha256) AS ends_sha256
+    FROM nodes a LEFT JOIN nodes u ON u.d = a.d - 1 AND u.path = left(a.path, length(a.path) - 64)
+    JOIN nodes s ON s.d >= a.d AND starts_with(s.path, a.path) GROUP BY a.d, a.path""")
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
