@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import exact_dedup as dedup
-from tidemark.llm import language, mixing, packing, prefix_trie, secrets, simhash, substrings, token_store, topk, toxicity, warc
+from tidemark.llm import alignment, language, mixing, packing, prefix_trie, secrets, simhash, substrings, token_store, topk, toxicity, warc
 from tidemark.llm.common import ascii_lower, crc_mod, table
 
 QUERIES: dict = {}
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_TOKENIZER, WORD_END = "word_bpe_49k.json", 2
 BYTE_TOKENIZER, BYTE_END = "byte_bpe_50k.json", 0
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -148,6 +149,12 @@ def op11_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op12_alignment")
+def op12_alignment(spark, sf_dir):
+    out = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 # crc32 of the decimal id, bit by bit
 _CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
       lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, u: xor(v >> 1, (v & 1) * 3988292384)))"""
@@ -158,7 +165,8 @@ _CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_spl
       SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
     o AS (
       SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p, k, words
-      FROM (SELECT *, sha256(length(r)::VARCHAR || ':' || r || x) AS k, len(regexp_extract_all(x, '[^ 	-]+')) AS words FROM t)),
+      FROM (SELECT *, sha256(length(r)::VARCHAR || ':' || r || x) AS k, len(regexp_extract_all(x, '[^ 	-
+]+')) AS words FROM t)),
     c AS (
       SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC}, 4294967295) % 4 AS h, n
       FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
