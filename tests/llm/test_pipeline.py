@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_mixing import brute as brute_mix
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_near_copies import brute_pairs
+from tests.llm.test_simhash import groups as linked_groups
 from tests.llm.util import WORD, low
 
 SF = "/root/testdata/sf0.001"
@@ -28,8 +29,9 @@ def test_stages_and_rows(spark):
     assert gone and sum(labels.get(i) == 0 for i in gone) <= 0.02 * len(before)
     before, after = seen["exact_dedup"]
     assert {r.doc_id for r in after} == set({low(r.text): r.doc_id for r in sorted(before, key=lambda r: r.doc_id)}.values())
-    before, after = seen["simhash_near_dedup"]
-    groups = brute_groups({r.doc_id: brute_print(r.text) for r in before})
+    before, after = seen["near_dedup"]
+    texts = {r.doc_id: r.text for r in before}
+    groups = linked_groups(brute_pairs(texts), texts)
     assert {r.doc_id for r in after} == {i for i, c in groups.items() if i == c}
     before, after = seen["mixing"]
     taken = {}

@@ -26,6 +26,15 @@ def test_pieces_give_the_ids_of_the_whole(name, parts):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_letters_beside_punctuation(name):
+    e = ENCODERS[name]
+    texts = [f"{c}{p} {p}{c} {c}" for c in map(chr, range(0x41, 0x250)) if c.isalpha() for p in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    texts += ["İ! and more", "aİ_", "a\t \tb", "a\t ", "\t b", " \t"]
+    for text, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == want.ids, text
+
+
 @settings(max_examples=150, deadline=None)
 @given(ids=st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=600), block=st.sampled_from([1, 7, 64, 512]), percentile=st.sampled_from([0, 50, 90, 100]))
 def test_blocks_round_trip(ids, block, percentile):

@@ -29,4 +29,5 @@ def clashing(df):
     from pyspark.sql import functions as F
 
     return df.withColumns({n: F.lit(7) for n in ("score", "size", "key", "kept", "keep_id", "start", "fp", "node", "rank", "length",
-                                                 "bytes", "digest", "record", "value", "v", "q", "found", "predicted")})
+                                                 "bytes", "digest", "record", "value", "v", "q", "found", "predicted", "__row", "__id", "__take",
+                                                 "__whole", "__key", "__size", "__ROW_2")})

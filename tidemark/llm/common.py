@@ -27,6 +27,28 @@ def worker_store(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def only_store(name: str) -> dict:
+    """The worker's dict of that name; those that other operators left in this worker go."""
+    stores = sys.modules.setdefault("tidemark_worker_store", types.ModuleType("tidemark_worker_store")).__dict__
+    for other in [k for k in stores if not k.startswith("__") and k != name]:
+        del stores[other]
+    return stores.setdefault(name, {})
+
+
+def set_aside(df: DataFrame, *but: str) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns that begin with two underscores, as the operators' own do, under other names, and the names to
+    give back."""
+    taken, names = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("__") and c not in but:
+            new = f"aside{c}"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            names[c] = new
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import ascii_lower, numbered
+from tidemark.llm.common import ascii_lower, numbered, set_aside
 from tidemark.session import cut
 
 #: Bits of the filter that carries the repeated keys of a level to the scan: 2**23 bits are at most 256 rows of
@@ -70,10 +70,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one of a group. A row without an id can't be named, so it stays where no
     row with an id has its text."""
+    docs, back = set_aside(docs, id_col, text_col)
     rows = numbered(docs)
     found = cut(exact_dedup(rows, id_col, text_col, extra={"__row": F.col("__row")})
                 .where("group_size > 1").select("__row", "doc_id", "kept", "full_hash"), "copies")
     # rows that repeat the id that stays: the first of them does
     first = found.where("kept AND doc_id IS NOT NULL").groupBy("full_hash").agg(F.min("__row").alias("__row"))
     gone = found.where("NOT kept OR doc_id IS NOT NULL").join(first, "__row", "left_anti").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns).withColumnsRenamed(back)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, numbered, running_totals
+from tidemark.llm.common import WORD, numbered, running_totals, set_aside
 from tidemark.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -93,6 +93,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. Each row has a key of
     its own, so rows that share an id and rows without one are planned and taken like any other.
     """
+    docs, back = set_aside(docs, id_col, text_col, source_col)
     keyed = numbered(docs)
     plan = mix(keyed, id_col, text_col, source_col, weights, share, most, row_col="__row").where("taken > 0").select(
         "__row", (F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("__whole"),
@@ -108,4 +109,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     new = {text_col: text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__take") > 0, F.char_length(cut_text).cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(new).select(*docs.columns)
+    return rows.withColumns(new).select(*docs.columns).withColumnsRenamed(back)

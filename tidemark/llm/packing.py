@@ -28,8 +28,9 @@ class Packer:
     sequence to its last token. ``emit(owner, start, length, sequence, offset, loss)`` gets each piece placed.
     """
 
-    def __init__(self, emit, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL):
-        self.emit, self.limits, self.pool = emit, np.array([tokens, segments, loss or tokens], float), pool
+    def __init__(self, emit, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, pool: int = POOL, keep=None):
+        """``keep(owner, start)``, if given, is what waits in an owner's place: it needs its tokens from ``start`` on only."""
+        self.emit, self.limits, self.pool, self.keep = emit, np.array([tokens, segments, loss or tokens], float), pool, keep
         self.owner: list = []
         self.starts = np.zeros(pool + 64, np.int64)
         self.size = np.zeros(pool + 64, np.int64)
@@ -47,6 +48,8 @@ class Packer:
                 self._put([(owner, start, take, max(0, take - free))])
             else:
                 i = self.n
+                if self.keep and size == take:
+                    owner = self.keep(owner, start)
                 self.owner[i], self.starts[i], self.size[i], self.free[i] = owner, start, take, min(free, take)
                 self.n += 1
                 if self.n >= self.pool:
@@ -127,8 +130,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         out: list[tuple] = []
 
         def emit(owner, start, length, sequence, offset, bears):
-            name, ids = owner
-            out.append((name, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]), len(ids) // 4, base + sequence, offset, bears))
+            name, total, begin, ids = owner
+            out.append((name, start, length, zlib.crc32(ids[4 * (start - begin):4 * (start - begin + length)]), total, base + sequence, offset, bears))
+
+        def rest(owner, start):
+            name, total, begin, ids = owner
+            return name, total, start, ids[4 * (start - begin):]
 
         def rows():
             cols = list(zip(*out))
@@ -136,11 +143,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-        packer = Packer(emit, tokens, segments, loss)
+        packer = Packer(emit, tokens, segments, loss, keep=rest)
         for batch in batches:
             for name, text, prompt in zip(batch.column(0), batch.column(1), batch.column(2)):
                 ids = enc.encode(text.as_py()) + end
-                packer.add((name.as_py(), ids), 0, len(ids) // 4, min(prompt.as_py(), len(ids) // 4))
+                packer.add((name.as_py(), len(ids) // 4, 0, ids), 0, len(ids) // 4, min(prompt.as_py(), len(ids) // 4))
                 if len(out) >= 4096:
                     yield rows()
         packer.finish()

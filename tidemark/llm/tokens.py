@@ -8,18 +8,21 @@ one dict per Python worker, of bounded size, that fills up with the words seen f
 from __future__ import annotations
 
 import array
+import re
 import sys
 
-from tidemark.llm.common import LOWER, UPPER, ship, worker_store
+from tidemark.llm.common import LOWER, UPPER, only_store, ship
 
 KEEP = 400_000
+#: A blank that other white space or the end makes part of a run.
+BESIDE = re.compile(r"[^\S ] (?!\S)")
 #: ASCII punctuation but the apostrophe, which may begin a word.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    store = worker_store("encoders")
+    store = only_store("encoders")
     if path not in store:
         store[path] = Encoder(path)
     return store[path]
@@ -77,12 +80,17 @@ class Encoder:
                 self.parts[part] = ids
         return ids
 
+    def _ends_in_letter(self, core: str) -> bool:
+        """Whether letters stay letters when normalised: one that gains a mark would take the punctuation along."""
+        t = self.tokenizer
+        return (t.normalizer.normalize_str(core) if t.normalizer else core).strip(" ").isalpha()
+
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece between blanks. Letters and the punctuation after them are words of their own, and so is a line end
         between two words."""
         core = piece.rstrip(TAIL)
-        if core.isalpha() or core[:1] == " " and core[1:].isalpha():
-            ids = self._part(core.lower() if self.folds and max(core) < "\u0250" else core)
+        if (core.isalpha() or core[:1] == " " and core[1:].isalpha()) and (core.isascii() or self._ends_in_letter(core)):
+            ids = self._part(core.lower() if self.folds and core.isascii() else core)
             if len(core) < len(piece):
                 ids += self._part(piece[len(core):])
         elif self.blank_joins and "\n" in piece and all(w and w == w.rstrip() and (not i or w == w.lstrip()) for i, w in enumerate(piece.split("\n"))):
@@ -100,7 +108,7 @@ class Encoder:
         if self.whole_only:
             return self.whole(text)
         if self.blank_joins:
-            if "  " in text:  # runs of blanks are tokens of their own
+            if "  " in text or BESIDE.search(text):  # runs of white space are tokens of their own
                 return self.whole(text)
             first, *rest = text.split(" ")
             pieces = [" " + w for w in rest]
