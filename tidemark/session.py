@@ -19,6 +19,7 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
         .config("spark.ui.enabled", "false")
     )
     if master:
