@@ -1,5 +1,6 @@
 """Piecewise windows and quantiles against plain ones, with hot groups and narrow pieces."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.operators import history as H
 from tidemark.operators.inject import kth_smallest
-from tidemark.operators.quantiles import exact_quantiles, quantile_struct
+from tidemark.operators.quantiles import exact_quantiles, quantile_struct, select_ranks
 from tidemark.operators.segments import over_pieces, with_rank, with_running
 
 
@@ -65,22 +66,49 @@ def test_recent_reward_counts_only_earlier_rows(rows):
     assert diff.count() == 0
 
 
-@pytest.mark.parametrize("accuracy", [40, 20_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("buckets", [16, 4096])
+def test_exact_quantiles(spark, buckets):
     rnd = np.random.default_rng(5)
     values = np.concatenate([rnd.normal(0, 100, 3000), np.full(1500, 7.0)])  # a third of the rows share one value
     groups = rnd.integers(0, 3, len(values))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, values)] + [(0, None), (1, float("nan"))], "g int, v double")
     qs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
-    got = {r.q: r.value for r in exact_quantiles(df, ["v"], qs, accuracy=accuracy).collect()}
+    got = {r.q: r.value for r in exact_quantiles(df, ["v"], qs, buckets=buckets).collect()}
     for q in qs:
         assert got[q] == pytest.approx(np.quantile(values, q), abs=1e-9)
-    by = {(r.g, r.q): r.value for r in exact_quantiles(df, ["v"], qs, by=["g"], accuracy=accuracy).collect()}
+    by = {(r.g, r.q): r.value for r in exact_quantiles(df, ["v"], qs, by=["g"], buckets=buckets).collect()}
     for g in range(3):
         for q in qs:
             assert by[g, q] == pytest.approx(np.quantile(values[groups == g], q), abs=1e-9)
 
 
+@pytest.mark.parametrize("buckets", [64, 4096])
+def test_quantiles_of_odd_values(spark, buckets):
+    """All magnitudes, both signs, infinities, neighbours next to powers of two, and one group of 90 %."""
+    rnd = random.Random(11)
+    odd = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308]
+    for e in (-1022, -300, -1, 0, 1, 52, 53, 700, 1023):
+        odd += [math.ldexp(1.0, e), math.nextafter(math.ldexp(1.0, e), 0), -math.nextafter(math.ldexp(1.0, e), math.inf)]
+    odd += [rnd.choice([-1, 1]) * math.ldexp(rnd.random(), rnd.randint(-1000, 1000)) for _ in range(300)]
+    df = spark.createDataFrame([("odd", v) for v in odd] + [("hot", 3.0)] * 3000 + [(None, 1.5), (None, 2.5)], "g string, v double").repartition(5)
+    ranks = select_ranks(df, ["g"], lambda n: F.sequence(F.lit(0), n - 1), False, buckets).where("g = 'odd'").collect()
+    assert [r.value for r in sorted(ranks, key=lambda r: r.rank)] == sorted(odd)
+    got = {r.g: r.value for r in exact_quantiles(df, ["v"], [0.5], ["g"], buckets).collect()}
+    assert got["hot"] == 3.0 and got[None] == 2.0
+    whole = {r.q: r.value for r in exact_quantiles(df, ["v"], [0.02, 0.5, 0.98], buckets=buckets).collect()}
+    values = sorted([*odd, *[3.0] * 3000, 1.5, 2.5])
+    assert whole[0.5] == 3.0 and whole[0.02] <= 3.0 <= whole[0.98] and len(values) == df.count()
+
+
+def test_no_window_in_exact_quantiles():
+    """Order statistics come from counts; nothing is put in order."""
+    import inspect
+
+    from tidemark.operators import inject, quantiles
+
+    assert "Window" not in inspect.getsource(quantiles) and "Window" not in inspect.getsource(inject)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert quantile_struct(df, ["v"], [0.5]).first()["v_q0"] is None

@@ -7,14 +7,15 @@ floor(rows * rate) rows: those with the smallest hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import vocab
 from tidemark.functions.scalars import gate, hash32, pick, uniform
-from tidemark.operators.quantiles import ACCURACY
+from tidemark.operators.quantiles import select_ranks
 from tidemark.operators.segments import with_rank
 
 TRUTH = "truth"
@@ -36,24 +37,11 @@ def _hits(df: DataFrame, rate: float, op: str, column: str, seed: int, key: str,
 
 
 def kth_smallest(df: DataFrame, c: str, rate: float) -> Column:
-    """Scalar struct (k, v): the k-th smallest value v of a column for k = floor(rows * rate).
-
-    Like the exact quantiles: sketch values bracket the rank, then only the values inside are counted.
-    """
-    slack = 3.0 / ACCURACY
-    s = df.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.floor(F.count(F.lit(1)) * rate).alias("k"),
-        F.percentile_approx(c, [max(0.0, rate - slack), min(1.0, rate + slack)], ACCURACY).alias("b"),
-        F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
-    d = df.select(F.col(c).alias("v"), s.alias("s"))
-    few = F.col("s.n") <= ACCURACY
-    lo = F.when(few | F.lit(rate <= slack), F.col("s.lo")).otherwise(F.col("s.b")[0])
-    hi = F.when(few | F.lit(rate >= 1 - slack), F.col("s.hi")).otherwise(F.col("s.b")[1])
-    inside = d.filter(F.col("v") <= hi).groupBy(
-        F.when(F.col("v") >= lo, F.col("v")).alias("v"), F.col("s.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    reached = inside.withColumn("upto", F.sum("n").over(w)).filter(F.col("upto") >= F.col("k"))
-    return reached.agg(F.struct(F.max("k").alias("k"), F.min("v").alias("v"))).scalar()
+    """Struct (k, v): the k-th smallest value v of a column without nulls for k = floor(rows * rate); v is null where k is 0."""
+    values = df.select(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+    found = select_ranks(values, ["column"], lambda n: F.array(F.greatest(F.floor(n * rate) - 1, F.lit(0))), True).first()
+    k = math.floor(found.n * rate) if found else 0
+    return F.struct(F.lit(k).cast("long").alias("k"), F.lit(found.value if k else None).cast("double").alias("v"))
 
 
 @dataclass(frozen=True)
