@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.operators import history as H
 from tidemark.operators.inject import kth_smallest
 from tidemark.operators.quantiles import exact_quantiles, quantile_struct, select_ranks
-from tidemark.operators.segments import over_pieces, with_rank, with_running
+from tidemark.operators.segments import heavy_groups, over_pieces, over_rows, with_rank, with_running
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,27 @@ def test_frames_across_pieces(rows, width):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
 
 
+@pytest.mark.parametrize("width", [50, 10_000])
+def test_frames_beside_heavy_groups(rows, width):
+    w = Window.partitionBy("k").orderBy("row_id")
+    want = rows.select("row_id", F.sum("v").over(w.rowsBetween(-5, -1)), F.lead("v", 2).over(w), F.row_number().over(w)).collect()
+    exprs = {"back": lambda w: F.sum("v").over(w.rowsBetween(-5, -1)), "ahead": lambda w: F.lead("v", 2).over(w), "nth": lambda w: F.col("r") + 0}
+    got = over_rows(rows, ["k"], "row_id", exprs, back=5, ahead=2, width=width, rank="r").select("row_id", "back", "ahead", "nth").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(map(tuple, want), key=lambda r: r[0])
+
+
+def test_exchanges_of_small_and_heavy_groups(rows):
+    """Groups of up to ``width`` rows take one exchange after the count; only a heavy one is cut into pieces."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert heavy_groups(rows, ["k"], 10_000) is None
+    assert [r.k for r in heavy_groups(rows, ["k"], 300).collect()] == ["hot"]
+    small = plan(H.rolling_avg(rows, ["k"], "row_id", "v", 4, width=10_000))
+    assert small.count("Exchange hashpartitioning") == 1 and "Join" not in small
+    assert "__piece" not in small and "__piece" in plan(H.rolling_avg(rows, ["k"], "row_id", "v", 4, width=300))
+
+
 def test_frame_wider_than_piece_is_refused(rows):
     with pytest.raises(ValueError):
         over_pieces(rows, ["k"], "row_id", {}, back=10, width=5)

@@ -11,26 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import vocab
-from tidemark.operators.segments import DEFAULT_WIDTH, null_safe, over_pieces, with_rank, with_running
+from tidemark.operators.segments import DEFAULT_WIDTH, apart, null_safe, over_rows, with_rank, with_running
 
 
 def rolling_avg(df: DataFrame, keys: Sequence[str], order: str, value: str, n: int = 10,
                 width: int = DEFAULT_WIDTH, name: str = "rolling_avg") -> DataFrame:
     """Mean of the last n values, only where there are n."""
-    ranked = with_rank(df, keys, order, width, "__rank")
-
     def mean(w):
         return F.when(F.col("__rank") >= n, F.avg(value).over(w.rowsBetween(-(n - 1), 0)))
 
-    return over_pieces(ranked, keys, "__rank", {name: mean}, back=n - 1, width=width).drop("__rank")
+    return over_rows(df, keys, order, {name: mean}, back=n - 1, width=width, rank="__rank")
 
 
 def recent_agent_reward(df: DataFrame, agent: str = "agent", order: str = "row_id", reward: str = "reward",
                         n: int = vocab.HISTORY_LENGTH, width: int = DEFAULT_WIDTH, name: str = "recent_reward") -> DataFrame:
     """Mean reward of the agent's previous n decisions (NULL before the first)."""
-    ranked = with_rank(df, [agent], order, width, "__rank")
-    return over_pieces(ranked, [agent], "__rank", {name: lambda w: F.avg(reward).over(w.rowsBetween(-n, -1))},
-                       back=n, width=width).drop("__rank")
+    return over_rows(df, [agent], order, {name: lambda w: F.avg(reward).over(w.rowsBetween(-n, -1))}, back=n, width=width, rank="__rank")
 
 
 def last_rewards(df: DataFrame, agent: str = "agent", order: str = "row_id", reward: str = "reward",
@@ -43,10 +39,14 @@ def last_rewards(df: DataFrame, agent: str = "agent", order: str = "row_id", rew
 
 def progress(df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Add row_index (from 0) and progress (row_index / total, 2 decimals)."""
-    ranked = with_rank(df, keys, order, width, "__rank")
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"))
-    out = null_safe(ranked, totals, keys, "inner")
-    return out.withColumns({
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        return d.withColumns({"__rank": F.row_number().over(w.orderBy(order)).cast("bigint"), "total_rows": F.count(F.lit(1)).over(w)})
+
+    def pieced(d: DataFrame) -> DataFrame:
+        return null_safe(with_rank(d, keys, order, width, "__rank"), d.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows")), keys, "inner")
+
+    return apart(df, keys, width, plain, pieced).withColumns({
         "row_index": F.col("__rank") - 1,
         "progress": F.round((F.col("__rank") - 1) / F.col("total_rows"), 2),
     }).drop("__rank")
@@ -65,7 +65,7 @@ def to_transitions(df: DataFrame, episode: str = "episode", step: str = "step",
     def following(w):
         return F.lead(F.struct(F.col(state).alias("s"))).over(w)
 
-    d = over_pieces(df, [episode], step, {"__next": following}, ahead=1, width=width)
+    d = over_rows(df, [episode], step, {"__next": following}, ahead=1, width=width)
     return d.withColumns({
         "next_state": F.coalesce(F.col("__next.s"), F.col(state)),
         "done": F.col("__next").isNull(),

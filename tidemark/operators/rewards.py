@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import vocab
 from tidemark.functions.scalars import any_issue, clamp, count_issues
-from tidemark.operators.segments import DEFAULT_WIDTH, null_safe, over_pieces, spread
+from tidemark.operators.segments import DEFAULT_WIDTH, null_safe, over_rows, spread
 from tidemark.session import cut
 
 
@@ -81,7 +81,7 @@ def with_contradiction(decisions: DataFrame, episode: str = "episode", step: str
                        & (x["action_type"] != F.col("action_type")) & (x["action_type"] != "skip"))
         return F.when(hit, F.lit(-0.2)).otherwise(F.lit(0.0))
 
-    return over_pieces(decisions, [episode], step, {name: clash}, back=back, width=width)
+    return over_rows(decisions, [episode], step, {name: clash}, back=back, width=width)
 
 
 def _consistency(share: Column) -> Column:
@@ -96,7 +96,7 @@ def with_consistency(decisions: DataFrame, positive: Column, episode: str = "epi
     def share(w):
         return _consistency(F.avg(positive.cast("int")).over(w.rangeBetween(-back, -1)))
 
-    return over_pieces(decisions, [episode], step, {name: share}, back=back, width=width, also=["action_type"])
+    return over_rows(decisions, [episode], step, {name: share}, back=back, width=width, also=["action_type"])
 
 
 def _total(consistency: Column) -> Column:

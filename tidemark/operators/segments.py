@@ -1,12 +1,13 @@
 """Ordered computations over groups of any size.
 
-A plain window sends a whole group to one task. Here a group is cut into pieces of at most
-``width`` rows, so that one key holding a third of the table is spread over many tasks:
+A plain window sends a whole group to one task. So the groups are counted first - partial sums, one small row per group and
+task - and only a group of over ``width`` rows is cut into pieces, so that one key holding a third of the table is
+spread over many tasks. All others, mostly the whole table, go through one plain window:
 
-* :func:`with_rank` - positions, from per-piece counts and a small prefix sum over pieces;
+* :func:`with_rank` - positions; of a heavy group from per-piece counts and a small prefix sum over pieces;
 * :func:`with_running` - running totals, the same way;
-* :func:`over_pieces` - any frame that looks a bounded number of rows back or ahead, with the
-  rows next to a piece's edge shown to its neighbour as well.
+* :func:`over_rows` - any frame that looks a bounded number of rows back or ahead; in a heavy group the
+  rows next to a piece's edge are shown to its neighbour as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tidemark.session import cut
+
 DEFAULT_WIDTH = 1_000_000
 
 
@@ -25,7 +28,25 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     cond = F.lit(True)
     for k in keys:
         cond = cond & left[k].eqNullSafe(r[tmp[k]])
-    return left.join(r, cond, how).drop(*tmp.values())
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*tmp.values())
+
+
+def heavy_groups(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame | None:
+    """The keys of over ``width`` rows, written; None if there is none. A table has at most one per ``width`` rows."""
+    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > width), "heavy")
+    return None if found.isEmpty() else found.drop("__n")
+
+
+def apart(df: DataFrame, keys: Sequence[str], width: int, plain: Callable[[DataFrame], DataFrame],
+          pieced: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``plain`` for the groups of up to ``width`` rows, ``pieced`` for the others; both add the same columns."""
+    heavy = heavy_groups(df, keys, width)
+    if heavy is None:
+        return plain(df)
+    if not keys:
+        return pieced(df)
+    return plain(null_safe(df, heavy, keys, "left_anti")).unionByName(pieced(null_safe(df, heavy, keys, "left_semi")))
 
 
 def _with_starts(df: DataFrame, keys: Sequence[str], order: str, width: int, measures: dict[str, Column]) -> DataFrame:
@@ -42,8 +63,15 @@ def _with_starts(df: DataFrame, keys: Sequence[str], order: str, width: int, mea
 def with_rank(df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAULT_WIDTH, name: str = "rank") -> DataFrame:
     """1-based position by ``order`` (unique integers) within each group.
 
-    A task sorts the rows of one group whose order values fall in one stretch of ``width``.
+    Of a heavy group a task sorts the rows whose order values fall in one stretch of ``width``.
     """
+    def plain(d: DataFrame) -> DataFrame:
+        return d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
+
+    return apart(df, keys, width, plain, lambda d: _ranked_pieces(d, keys, order, width, name))
+
+
+def _ranked_pieces(df: DataFrame, keys: Sequence[str], order: str, width: int, name: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(order))
     out = _with_starts(df, keys, order, width, {"n": F.count(F.lit(1))})
     return out.withColumn(name, (local + F.col("__s_n")).cast("bigint")).drop("__piece", "__s_n")
@@ -52,10 +80,17 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAU
 def with_running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column],
                  width: int = DEFAULT_WIDTH) -> DataFrame:
     """Running totals (current row included) of the given columns by ``order``."""
-    out = _with_starts(df, keys, order, width, {n: F.sum(c) for n, c in sums.items()})
-    w = Window.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"__s_{n}") for n, c in sums.items()})
-    return out.drop("__piece", *[f"__s_{n}" for n in sums])
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return d.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
+
+    def pieced(d: DataFrame) -> DataFrame:
+        out = _with_starts(d, keys, order, width, {n: F.sum(c) for n, c in sums.items()})
+        w = Window.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"__s_{n}") for n, c in sums.items()})
+        return out.drop("__piece", *[f"__s_{n}" for n in sums])
+
+    return apart(df, keys, width, plain, pieced)
 
 
 def spread(df: DataFrame, rank: str, back: int, ahead: int, width: int) -> DataFrame:
@@ -90,3 +125,26 @@ def over_pieces(df: DataFrame, keys: Sequence[str], rank: str, exprs: dict[str,
     w = Window.partitionBy(*keys, "__piece", *also).orderBy(rank)
     out = cut.withColumns({n: f(w) for n, f in exprs.items()})
     return out.filter(~F.col("__guest")).drop("__piece", "__guest")
+
+
+def over_rows(df: DataFrame, keys: Sequence[str], order: str, exprs: dict[str, Callable[[WindowSpec], Column]], back: int = 0, ahead: int = 0,
+              width: int = DEFAULT_WIDTH, also: Sequence[str] = (), rank: str | None = None) -> DataFrame:
+    """:func:`over_pieces` for heavy groups, one plain window for all others.
+
+    ``order`` are unique integers; with ``rank`` the expressions may use that name for the 1-based position, otherwise ``order``
+    is itself dense, from 1.
+    """
+    if max(back, ahead) > width:
+        raise ValueError("width must not be below the frame")
+
+    def plain(d: DataFrame) -> DataFrame:
+        if rank:
+            d = d.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
+        w = Window.partitionBy(*keys, *also).orderBy(rank or order)
+        return d.withColumns({n: f(w) for n, f in exprs.items()})
+
+    def pieced(d: DataFrame) -> DataFrame:
+        return over_pieces(_ranked_pieces(d, keys, order, width, rank) if rank else d, keys, rank or order, exprs, back, ahead, width, also)
+
+    out = apart(df, keys, width, plain, pieced)
+    return out.drop(rank) if rank else out

@@ -132,7 +132,7 @@ def _session_out(df):
 
 @query("session_summary", f"""WITH {_SESSIONS} SELECT {_SESSION_OUT} FROM s""")
 def session_summary(spark, sf):
-    return _session_out(T.session_summary(B.table(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600))
+    return _session_out(T.session_summary(B.table(spark, sf, "events"), "user_id", "ts", 6 * 3600))
 
 
 @query("stream_sessions", f"""WITH {_SESSIONS} SELECT {_SESSION_OUT} FROM s WHERE b <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")

@@ -12,7 +12,6 @@ from tidemark import vocab
 from tidemark.functions import predicates as P
 from tidemark.operators.detect import Rule, detect_issues, people_rules
 from tidemark.operators.history import last_rewards
-from tidemark.operators.segments import DEFAULT_WIDTH, over_pieces, with_rank, with_running
 from tidemark.plans.cleaning import clean, decide, stateless
 
 
@@ -116,21 +115,21 @@ def stream_sessions(sdf: DataFrame, key: str, ts: str, gap: str, delay: str = "1
     return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
 
-def session_summary(df: DataFrame, key: str, ts: str, order: str, gap_seconds: int, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Batch twin: one row per session (key, session_start, session_end, events).
+def session_summary(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """Batch twin: one row per session (key, session_start, session_end, events). Rows without a time are in no session.
 
-    ``order`` is an integer that increases with ``ts``. A session starts where the gap to the key's previous
-    row is too wide; running counts of starts number the sessions, piece by piece, so a key with most of the
-    rows is spread out.
+    A session starts where the gap to the key's previous row is too wide. Rows fold into summaries that merge in any order: first
+    and last time and count per stretch of one gap's length, whose rows are one session in any case. Only these move: a key has
+    at most as many as the time covered has stretches, however many rows it holds. Neighbouring summaries then merge.
     """
-    ranked = with_rank(df.select(key, ts, order), [key], order, width, "__rank")
-
-    def starts(w):
-        before = F.lag(ts).over(w)
-        return F.when(before.isNull() | (F.col(ts) >= before + F.make_dt_interval(secs=F.lit(gap_seconds))), 1).otherwise(0)
-
-    marked = over_pieces(ranked, [key], "__rank", {"__start": starts}, back=1, width=width)
-    numbered = with_running(marked, [key], "__rank", {"__session": F.col("__start")}, width)
+    gap = F.make_dt_interval(secs=F.lit(gap_seconds))
+    micros, width = F.unix_micros(F.col(ts).cast("timestamp")), F.lit(gap_seconds * 1_000_000)
+    slot = F.call_function("div", micros - F.pmod(micros, width), width)
+    folded = df.where(F.col(ts).isNotNull()).groupBy(key, slot.alias("__slot")).agg(
+        F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(key).orderBy("__slot")
+    last = F.lag("__to").over(w)
+    numbered = folded.withColumn("__start", F.when(last.isNull() | (F.col("__from") >= last + gap), 1).otherwise(0)).withColumn(
+        "__session", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "__session").agg(
-        F.min(ts).alias("session_start"), (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end"),
-        F.count(F.lit(1)).alias("events")).drop("__session")
+        F.min("__from").alias("session_start"), (F.max("__to") + gap).alias("session_end"), F.sum("__n").alias("events")).drop("__session")
