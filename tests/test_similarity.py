@@ -65,15 +65,56 @@ def test_fuzzy_duplicates_equal_brute_force(spark, t):
     assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
-def test_candidate_pairs_keep_every_match_once(spark):
+def expanded(found):
+    """All pairs of rows, copies written out."""
+    first = {r.row_id: r.other_id for r in found if r["copy"]}
+    sets = {}
+    for r in found:
+        for i in (r.row_id, r.other_id):
+            sets.setdefault(first.get(i, i), set()).add(i)
+    out = {}
+    for r in found:
+        if not r["copy"]:
+            for i in sets[r.row_id]:
+                for j in sets[r.other_id]:
+                    out[max(i, j), min(i, j)] = r.similarity
+    for own in sets.values():
+        out |= {(i, j): 1.0 for i in own for j in own if i > j}
+    return out
+
+
+@pytest.mark.parametrize("t", [0.4, 0.8])
+def test_candidate_pairs_are_the_matches(spark, t):
     texts = words(120, 9, "abcd", 8)
     df = spark.createDataFrame(list(enumerate(texts)), "row_id long, w string")
-    pairs = [tuple(r) for r in Z.candidate_pairs(df, "w", [], 0.8).collect()]
-    assert len(pairs) == len(set(pairs))
+    rows = Z.candidate_pairs(df, "w", [], t).collect()
+    assert len(rows) == len({(r.row_id, r.other_id) for r in rows})
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(x, i)
+    # the ratio depends on the order: that of the first rows of both sets counts
+    want = {}
     for i, a in enumerate(texts):
         for j in range(i):
-            if SequenceMatcher(None, a, texts[j]).ratio() >= 0.8:
-                assert (i, j) in set(pairs)
+            b = texts[j]
+            x, y = (a, b) if first[a] > first[b] else (b, a)
+            r = SequenceMatcher(None, x, y).ratio()
+            if r >= t:
+                want[i, j] = r
+    assert expanded(rows) == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_wide_columns_with_many_equal_characters(spark, monkeypatch):
+    """Texts that run over the words of bits, no narrow column, pieces of few rows."""
+    monkeypatch.setattr(Z, "NARROW", 0)
+    monkeypatch.setattr(Z, "PIECE", 20)
+    rnd = random.Random(6)
+    rows = [{"row_id": i, "g": 0, "a": "".join(rnd.choice("aab\u00e9\u4e2d") for _ in range(rnd.randint(0, 40))), "b": rnd.choice([None, "", "x" * 30, "xy" * 9])}
+            for i in range(130)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g int, a string, b string")
+    got = {r.row_id: r.similarity for r in Z.fuzzy_duplicates(df, ["a", "b"], threshold=0.8).collect()}
+    want = brute(rows, ["a", "b"], "g", 0.8)
+    assert want and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
 
 
 def test_sql_name(spark):
@@ -97,11 +138,22 @@ def test_registered_queries_keep_every_match(spark):
     from tidemark.queries import base as B, catalog
 
     sf = "/root/testdata/sf0.001"
-    rows = [r.asDict() | {"g": 0} for r in B.dirty(spark, sf, "medium").select("row_id", "name", "email").orderBy("row_id").collect()]
+    cols = ["id", "name", "age", "salary", "score", "dept", "email"]
+    d = B.dirty(spark, sf, "medium").select("row_id", *cols)
+    rows = [r.asDict() | {"g": 0} for r in d.orderBy("row_id").collect()]
     got = {r.row_id: r.similarity for r in catalog.QUERIES["fuzzy_duplicates"](spark, sf).collect()}
-    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in brute(rows, ["email", "name"], "g", 0.7).items()}
-    pairs = {tuple(r) for r in catalog.QUERIES["candidate_pairs"](spark, sf).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in brute(rows, cols, "g", 0.7).items()}
+    pairs = expanded(catalog.QUERIES["candidate_pairs"](spark, sf).collect())
     for i, a in enumerate(rows):
         for b in rows[:i]:
-            if SequenceMatcher(None, str(a["email"]), str(b["email"])).ratio() >= 0.7:
-                assert (a["row_id"], b["row_id"]) in pairs
+            mean = sum(SequenceMatcher(None, str(a[c]), str(b[c])).ratio() for c in cols) / len(cols)
+            assert ((a["row_id"], b["row_id"]) in pairs) == (mean >= 0.7)
+
+
+def test_few_pairs_meet(spark):
+    from tidemark.queries import base as B
+
+    t, reps, texts = Z._folded(B.dirty(spark, "/root/testdata/sf0.01", "medium"), ["id", "name", "age", "salary", "score", "dept", "email"], (), "row_id")
+    n, met = reps.count(), Z.meeting_pairs(reps, texts, 0.7).count()
+    print(f"{met} of {n * (n - 1) // 2} pairs meet")
+    assert met < 0.01 * n * (n - 1) / 2

@@ -66,7 +66,7 @@ def first_issue_column(issues: Column, kind: str) -> Column:
 
 
 def elapsed_text(start: Column, end: Column) -> Column:
-    """``Xh Ym``, or ``Ym`` below an hour."""
+    """``Xh Ym``, or ``Ym`` below an hour; NULL while either end is missing."""
     minutes = F.floor((F.unix_timestamp(end) - F.unix_timestamp(start)) / 60)
     hours = F.floor(minutes / 60)
     rest = (minutes % 60).cast("string")

@@ -99,10 +99,8 @@ def fix_formatting(c: Column) -> Column:
 
 
 def category_lookup(c: Column, mapping: Mapping[str, str] | None = None) -> Column:
-    """The mapped value, NULL where the text is no key."""
+    """The mapped value, NULL where the text is no key. Large mappings plan better as a table (``joins.lookup_category``)."""
     mapping = vocab.CATEGORY_MAP if mapping is None else mapping
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise ValueError("use lookup_category with a table for large mappings")
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[c]
 
 
@@ -118,8 +116,6 @@ def fuzzy_category(c: Column, known: Sequence[str], threshold: float = vocab.FUZ
     values do no harm.
     """
     known = list(known)
-    if len(known) > MAX_LITERAL_MAP:
-        raise ValueError("the known list is a short literal list")
     text = P.strip(F.lower(c))
     near = F.filter(
         F.array(*[F.lit(k) for k in known]),
@@ -144,7 +140,7 @@ def fuzzy_category(c: Column, known: Sequence[str], threshold: float = vocab.FUZ
 
 def fix_category_fuzzy(df: DataFrame, c: str, known: Sequence[str] | None = None,
                        threshold: float = vocab.FUZZY_THRESHOLD) -> DataFrame:
-    """Closest known value per cell; a long list is taken as a table and met through shared tokens."""
+    """Closest known value per cell, alike for lists of any length; a long one is taken as a table and met through shared tokens."""
     if known is not None and len(known) > MAX_LITERAL_MAP:
         from tidemark.operators.fuzzy import closest_known
 

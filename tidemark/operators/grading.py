@@ -95,10 +95,12 @@ def distinct_count_check(df: DataFrame, c: str) -> DataFrame:
 
 
 def task_success(df: DataFrame, score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """Clamp the scores and mark the successes."""
-    s = clamp(F.col(score))
-    return df.withColumns({score: s, "success": s >= threshold})
+    """Clamp the scores and mark the successes; a task without a score keeps none and is no success."""
+    s = F.when(F.col(score).isNotNull(), clamp(F.col(score)))
+    return df.withColumns({score: s, "success": F.coalesce(s >= threshold, F.lit(False))})
 
 
 def mean_score(df: DataFrame, score: str = "score") -> DataFrame:
-    return df.agg(F.avg(clamp(F.col(score))).alias("mean_score"), F.count(F.lit(1)).alias("tasks"))
+    """Mean over the scored tasks, the number of tasks and of those with a score."""
+    s = F.when(F.col(score).isNotNull(), clamp(F.col(score)))
+    return df.agg(F.avg(s).alias("mean_score"), F.count(F.lit(1)).alias("tasks"), F.count(s).alias("scored"))

@@ -50,7 +50,7 @@ def action_counts(decisions: DataFrame, totals: bool = False) -> DataFrame:
 
 
 def duration_histogram(df: DataFrame, c: str, bounds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Cumulative bucket counts: by, le, n - the last bucket (+Inf) holds all."""
+    """Cumulative bucket counts: by, le, n - the last bucket (+Inf) holds all that have a value; a group without any has zeros."""
     aggs = [F.count_if(F.col(c) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
     flat = df.groupBy(*by).agg(*aggs, F.count(c).alias("all"))
     rows = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]

@@ -130,10 +130,10 @@ def action_counts(spark, sf):
 BOUNDS = [60, 600, 3600, 10000]
 
 
-@query("duration_histogram", f"""WITH {B.JOBS}, d AS (SELECT job_type, date_diff('second', started_at, completed_at) AS s FROM jobs WHERE completed_at IS NOT NULL)
+@query("duration_histogram", f"""WITH {B.JOBS}, d AS (SELECT job_type, date_diff('second', started_at, completed_at) AS s FROM jobs)
   {' UNION ALL '.join(f"SELECT job_type, '{b}' AS le, count(*) FILTER (s <= {b}) AS n FROM d GROUP BY 1" for b in BOUNDS)} UNION ALL SELECT job_type, '+Inf', count(s) FROM d GROUP BY 1""")
 def duration_histogram(spark, sf):
-    j = B.jobs(spark, sf).filter("completed_at is not null").select("job_type", (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("s"))
+    j = B.jobs(spark, sf).select("job_type", (F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")).alias("s"))
     return R.duration_histogram(j, "s", BOUNDS, by=["job_type"])
 
 

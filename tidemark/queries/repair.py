@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import vocab
+from tidemark.functions.similarity import register
 from tidemark.operators import clean as C
 from tidemark.operators import decide as D
 from tidemark.operators import fuzzy as Z
@@ -95,6 +96,45 @@ def fix_category_fuzzy(spark, sf):
     return C.fix_category_fuzzy(B.dirty(spark, sf), "dept").select("row_id", "dept")
 
 
+def sql_ratio(pairs: str) -> str:
+    """CTEs that end in ``ratios(x, y, ratio)`` for a relation of distinct (x, y): the longest common stretch - the first in x, then in y -
+    and the same to its left and right, until nothing is in common."""
+    best = """list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({b}) + 1), lambda j: {{
+      'k': len(list_filter(range(1, least(length({a}) - i, length({b}) - j) + 2), lambda n: substr({a}, i::INT, n::INT) = substr({b}, j::INT, n::INT))), 'i': -i, 'j': -j}}))))"""
+    return f"""stretches AS (
+      SELECT x, y, x AS a, y AS b, {best.format(a='x', b='y')} AS m FROM {pairs} WHERE x <> '' AND y <> ''
+      UNION ALL
+      SELECT x, y, a, b, {best.format(a='a', b='b')} FROM (
+        SELECT x, y, CASE side WHEN 0 THEN left(a, (-m.i - 1)::INT) ELSE substr(a, (m.k - m.i)::INT) END AS a,
+          CASE side WHEN 0 THEN left(b, (-m.j - 1)::INT) ELSE substr(b, (m.k - m.j)::INT) END AS b
+        FROM stretches, (VALUES (0), (1)) sides(side) WHERE m.k > 0) WHERE a <> '' AND b <> ''),
+    ratios AS (SELECT x, y, 2.0::DOUBLE * sum(m.k) / (length(x) + length(y)) AS ratio FROM stretches GROUP BY x, y)"""
+
+
+@query("sql_ratio", f"""WITH RECURSIVE {B.DIRTY}, known AS (SELECT unnest([{', '.join(f"'{d}'" for d in vocab.DEPT_OPTIONS)}]) AS y),
+  pairs AS (SELECT DISTINCT dept AS x, y FROM dirty, known WHERE dept IS NOT NULL), {sql_ratio('pairs')}
+  SELECT row_id, dept, y AS known, round(ratio, 9) AS ratio FROM dirty JOIN ratios ON dept = x""")
+def sql_ratio_query(spark, sf):
+    register(spark)
+    B.dirty(spark, sf).select("row_id", "dept").createOrReplaceTempView("dirty_depts")
+    known = ", ".join(f"'{d}'" for d in vocab.DEPT_OPTIONS)
+    return spark.sql(f"""SELECT row_id, dept, known, round(ratcliff_ratio(dept, known), 9) AS ratio
+                         FROM dirty_depts LATERAL VIEW explode(array({known})) AS known WHERE dept IS NOT NULL""")
+
+
+@query("fix_category_fuzzy_long", f"""WITH RECURSIVE {B.DIRTY}, known AS (SELECT lower(v) AS y, min(pos) AS pos FROM (
+    SELECT unnest([{', '.join(f"'{d}'" for d in vocab.DEPT_OPTIONS)}]) AS v, 0 AS pos UNION ALL SELECT p_brand || ' ' || p_name, p_partkey + 1 FROM part) GROUP BY 1),
+  given AS (SELECT row_id, dept, trim(lower(dept), {WS}) AS x FROM dirty),
+  pairs AS (SELECT DISTINCT x, y FROM given, known WHERE x <> y AND 2.0 * least(length(x), length(y)) / (length(x) + length(y)) >= 0.7), {sql_ratio('pairs')},
+  best AS (SELECT x, arg_min(y, (-ratio, pos, y)) AS y FROM ratios JOIN known USING (y) WHERE ratio >= 0.7 GROUP BY x)
+  SELECT row_id, CASE WHEN x IN (SELECT y FROM known) THEN x ELSE coalesce(best.y, dept) END AS dept FROM given LEFT JOIN best USING (x)""")
+def fix_category_fuzzy_long(spark, sf):
+    names = B.table(spark, sf, "part").select(F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("value"), (F.col("p_partkey") + 1).alias("pos"))
+    own = spark.createDataFrame([(d, 0) for d in vocab.DEPT_OPTIONS], "value string, pos long")
+    known = own.unionByName(names).groupBy("value").agg(F.min("pos").alias("pos"))
+    return Z.closest_known(B.dirty(spark, sf), "dept", known).select("row_id", "dept")
+
+
 @query("fix_email_domain", f"""WITH {B.DIRTY} SELECT row_id, CASE WHEN contains(email, '@') THEN split_part(email, '@', 1) || '@' || {_domain_fixed} ELSE email END AS email FROM dirty""")
 def fix_email_domain(spark, sf):
     return C.fix_email_domain(B.dirty(spark, sf)).select("row_id", "email")
@@ -151,13 +191,13 @@ def dup_exists(spark, sf):
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.fuzzy_duplicates(d, ["email", "name"])
+    return Z.fuzzy_duplicates(d, MEDIUM_COLS)
 
 
 @query("candidate_pairs")
 def candidate_pairs(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.candidate_pairs(d, "email", [], vocab.FUZZY_THRESHOLD)
+    return Z.candidate_pairs(d, MEDIUM_COLS)
 
 
 @query("apply_actions", f"""WITH {B.DIRTY}, act AS (

@@ -128,25 +128,25 @@ def distinct_count_check(spark, sf):
     return G.distinct_count_check(B.dirty(spark, sf), "name")
 
 
-@query("task_success", f"""WITH {B.JOBS} SELECT job_id, greatest(0, least(1, result_score * 1.2::DOUBLE - 0.1::DOUBLE)) AS score, greatest(0, least(1, result_score * 1.2::DOUBLE - 0.1::DOUBLE)) >= 0.5 AS success FROM jobs WHERE result_score IS NOT NULL""")
+@query("task_success", f"""WITH {B.JOBS} SELECT job_id, CASE WHEN result_score IS NOT NULL THEN greatest(0, least(1, result_score * 1.2::DOUBLE - 0.1::DOUBLE)) END AS score, coalesce(result_score * 1.2::DOUBLE - 0.1::DOUBLE >= 0.5, false) AS success FROM jobs""")
 def task_success(spark, sf):
-    j = B.jobs(spark, sf).filter("result_score is not null").select("job_id", (F.col("result_score") * 1.2 - 0.1).alias("score"))
+    j = B.jobs(spark, sf).select("job_id", (F.col("result_score") * 1.2 - 0.1).alias("score"))
     return G.task_success(j)
 
 
-@query("mean_score", f"""WITH {B.JOBS} SELECT round(avg(greatest(0, least(1, result_score * 1.2::DOUBLE - 0.1::DOUBLE))), 6) AS mean_score, count(*) AS tasks FROM jobs WHERE result_score IS NOT NULL""")
+@query("mean_score", f"""WITH {B.JOBS} SELECT round(avg(greatest(0, least(1, result_score * 1.2::DOUBLE - 0.1::DOUBLE))) FILTER (result_score IS NOT NULL), 6) AS mean_score, count(*) AS tasks, count(result_score) AS scored FROM jobs""")
 def mean_score(spark, sf):
-    j = B.jobs(spark, sf).filter("result_score is not null").select((F.col("result_score") * 1.2 - 0.1).alias("score"))
+    j = B.jobs(spark, sf).select((F.col("result_score") * 1.2 - 0.1).alias("score"))
     return G.mean_score(j).withColumn("mean_score", F.round("mean_score", 6))
 
 
 # --- scalar functions ---------------------------------------------------------------------------
-@query("text_functions", """SELECT doc_id, lower(source) AS low, upper(lang) AS up, trim(substr(text, 1, 20)) AS head, replace(source, 'src', 'source ') AS named, contains(text, 'the') AS has_the,
+@query("text_functions", """SELECT doc_id, lower(source) AS low, upper(lang) AS up, length(trim(text)) AS trimmed_length, md5(trim(text)) AS trimmed_md5, replace(source, 'src', 'source ') AS named, contains(text, 'the') AS has_the,
   starts_with(text, 'T') AS starts_t, split_part(text, ' ', 1) AS first_word, concat(lang, ':', source) AS tag, format('{}#{}', lang, doc_id) AS label FROM documents""")
 def text_functions(spark, sf):
     t = F.col("text")
     return B.table(spark, sf, "documents").select(
-        "doc_id", F.lower("source").alias("low"), F.upper("lang").alias("up"), F.trim(F.substring(t, 1, 20)).alias("head"),
+        "doc_id", F.lower("source").alias("low"), F.upper("lang").alias("up"), F.length(F.trim(t)).cast("bigint").alias("trimmed_length"), F.md5(F.trim(t).cast("binary")).alias("trimmed_md5"),
         F.replace("source", F.lit("src"), F.lit("source ")).alias("named"), t.contains("the").alias("has_the"), t.startswith("T").alias("starts_t"),
         F.split_part(t, F.lit(" "), F.lit(1)).alias("first_word"), F.concat("lang", F.lit(":"), "source").alias("tag"),
         F.format_string("%s#%d", "lang", "doc_id").alias("label"))
@@ -179,10 +179,10 @@ def number_statistics(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q1", "median", "q3")})
 
 
-@query("elapsed_time", f"""WITH {B.JOBS}, e AS (SELECT job_id, floor(date_diff('second', started_at, completed_at) / 60)::BIGINT AS m FROM jobs WHERE completed_at IS NOT NULL)
+@query("elapsed_time", f"""WITH {B.JOBS}, e AS (SELECT job_id, floor(date_diff('second', started_at, completed_at) / 60)::BIGINT AS m FROM jobs)
   SELECT job_id, CASE WHEN m >= 60 THEN (m // 60)::VARCHAR || 'h ' || (m % 60)::VARCHAR || 'm' ELSE m::VARCHAR || 'm' END AS elapsed FROM e""")
 def elapsed_time(spark, sf):
-    j = B.jobs(spark, sf).filter("completed_at is not null")
+    j = B.jobs(spark, sf)
     return j.select("job_id", S.elapsed_text(F.col("started_at"), F.col("completed_at")).alias("elapsed"))
 
 
