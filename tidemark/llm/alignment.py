@@ -3,16 +3,18 @@
 The two lists of ends are intersected by galloping: the shorter one drives an exponential and then a binary search in the longer.
 The common ends' places in both lists cut them into groups, and the differences of places give each group's ranges.
 
-A byte-level BPE (A) and a sentencepiece BPE (B) both begin anew at a blank between two words, so texts are cut there and the
-groups of a piece are kept: most pieces repeat.
+A byte-level BPE (A) and a sentencepiece BPE (B) both begin anew at a blank between two words, and mostly between a word and the
+punctuation after it, so texts are cut there and the groups of a piece are kept: most pieces repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from tidemark.llm.common import ship, worker_store
 from tidemark.session import cut
 
 #: Pieces that a worker remembers.
-KEEP = 150_000
+KEEP = 400_000
 #: B's sign for a blank.
 SPACE = "▁"
 #: Links are one number: A's id times this, plus B's.
@@ -31,26 +33,18 @@ SHIFT = 1 << 32
 
 def common_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """(i, j) of all a[i] == b[j] in two strictly rising lists."""
-    swap = len(b) < len(a)
-    short, long = (b, a) if swap else (a, b)
-    out, at, n = [], 0, len(long)
-    for i, x in enumerate(short):
+    if len(b) < len(a):
+        return [(i, j) for j, i in common_ends(b, a)]
+    out, at, n = [], 0, len(b)
+    for i, x in enumerate(a):
         step = 1
-        while at + step < n and long[at + step] < x:
+        while at + step < n and b[at + step] < x:
             step += step
-        at = bisect_left(long, x, at + step // 2, min(n, at + step + 1))
+        at = bisect_left(b, x, at + step // 2, min(n, at + step + 1))
         if at == n:
             break
-        if long[at] == x:
-            out.append((at, i) if swap else (i, at))
-    return out
-
-
-def ends(tokens: Sequence[bytes]) -> list[int]:
-    out, at = [], 0
-    for t in tokens:
-        at += len(t)
-        out.append(at)
+        if b[at] == x:
+            out.append((i, at))
     return out
 
 
@@ -67,11 +61,14 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.bytes_a = _byte_level(self.a)
+        self.bytes_a, self.shown = _byte_level(self.a)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        # a blank within a piece of B would tie words together
-        self.cuts = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
+        self.len_a, self.len_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        # what stands side by side in a piece of B may be tied together; a blank must not
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.tied = {n[i:i + 2] for n in names for i in range(len(n) - 1)}
+        self.cuts = not any(SPACE in n.lstrip(SPACE) for n in names)
         self.keep, self.known = keep, {}
 
     def pieces(self, text: str) -> list[str]:
@@ -80,47 +77,86 @@ class Aligner:
             return [" " + text]
         return [" " + w for w in text.split(" ")]
 
-    def entries(self, pieces: list[str]) -> list[tuple | None]:
-        """Per piece: A's and B's tokens, groups, the groups' text, links; None where the tokens don't give the piece back."""
-        known = self.known
+    def entries(self, pieces: list[str]) -> list[tuple]:
+        """Per piece: A's and B's tokens, groups, the groups' text, links; () where the tokens don't give the piece back."""
+        known, keep = self.known, self.keep
         out = [known.get(p) for p in pieces]
-        if None in out:
-            # a piece that can't be aligned is known as ()
-            missing = list(dict.fromkeys(p for p, e in zip(pieces, out) if e is None))
-            fresh = dict(zip(missing, map(self._entry, missing, (e.ids for e in self.a.encode_batch(missing, add_special_tokens=False)),
-                                          self.b.encode([p[1:] for p in missing], num_threads=1))))
-            out = [e if e is not None else fresh[p] for p, e in zip(pieces, out)]
-            for p, e in fresh.items():
-                if len(known) < self.keep and len(p) <= 48:
-                    known[p] = e
-        return out
+        if None not in out:
+            return out
+        fresh: dict[str, tuple | None] = {}
+        parts = {}
+        for p, e in zip(pieces, out):
+            if e is None and p not in parts:
+                core = p.rstrip(TAIL)
+                tail = p[len(core):]
+                # letters and the punctuation behind them are words of their own for A, and for B if no piece ties them
+                split = tail and core[1:].isalpha() and core[-1] + tail[0] not in self.tied and "a" + tail[0] not in self.tied
+                parts[p] = (core, tail) if split else (p,)
+                for x in parts[p]:
+                    if x not in known:
+                        fresh[x] = None
+        if fresh:
+            self._learn(fresh)
+            for x, e in fresh.items():
+                if len(known) < keep and len(x) <= 48:
+                    known[x] = e
+
+        def entry(x: str) -> tuple:
+            e = fresh.get(x)
+            return known[x] if e is None else e
+
+        for p, of in parts.items():
+            found = [entry(x) for x in of]
+            if len(found) == 1:
+                parts[p] = found[0]
+            else:
+                x, y = found
+                parts[p] = (x[0] + y[0], x[1] + y[1], x[2] + y[2], f"{x[3]};{y[3]}", x[4] + y[4]) if x and y else ()
+        return [parts[p] if e is None else e for p, e in zip(pieces, out)]
+
+    def _learn(self, fresh: dict) -> None:
+        words = list(fresh)
+        # a tail begins without a blank: B gets it behind a letter that it isn't tied to
+        b = self.b.encode([w[1:] if w[0] == " " else "a" + w for w in words], num_threads=1)
+        whole = [w for w in words if w[0] != " " or not w[1:].isalpha()]
+        others = dict(zip(whole, self.a.encode_batch(whole, add_special_tokens=False))) if whole else {}
+        tokenize = self.a.model.tokenize
+        for w, ids in zip(words, b):
+            if w in others:
+                fresh[w] = self._entry(w, others[w].ids, ids if w[0] == " " else ids[1:])
+            else:  # letters behind a blank are one word, whose bytes go to A's model
+                fresh[w] = self._entry(w, [t.id for t in tokenize(w.encode().decode("latin-1").translate(self.shown))], ids)
 
     def _entry(self, piece: str, a: list[int], b: list[int]) -> tuple:
-        tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         whole = piece.encode("utf-8", "surrogatepass")
-        if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
+        bytes_a, bytes_b = self.bytes_a, self.bytes_b
+        if b"".join([bytes_a[i] for i in a]) != whole or b"".join([bytes_b[i] for i in b]) != whole:
             return ()
-        at = common_ends(ends(tokens_a), ends(tokens_b))
+        len_a, len_b = self.len_a, self.len_b
+        at = common_ends(list(accumulate([len_a[i] for i in a])), list(accumulate([len_b[i] for i in b])))
         groups, i0, j0 = [], 0, 0
         for i, j in at:
-            groups.append(f"{','.join(map(str, a[i0:i + 1]))}|{','.join(map(str, b[j0:j + 1]))}")
+            groups.append(f"{a[i] if i == i0 else ','.join(map(str, a[i0:i + 1]))}|{b[j] if j == j0 else ','.join(map(str, b[j0:j + 1]))}")
             i0, j0 = i + 1, j + 1
-        links = np.array([a[i] * SHIFT + b[j] for i, j in at], np.int64).tobytes()
-        return len(a), len(b), len(at), ";".join(groups), links
+        return len(a), len(b), len(at), ";".join(groups), array("q", [a[i] * SHIFT + b[j] for i, j in at]).tobytes()
 
 
 #: A blank between two other white-space characters: the run around it is one for A.
 _BESIDE = re.compile(r"[^\S ] [^\S ]")
 
 
-def _byte_level(tokenizer) -> list[bytes]:
-    """The bytes of every entry: printable Latin-1 characters stand for themselves, the others for the characters from 256 on."""
+#: ASCII punctuation but the apostrophe, which may begin a word.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_level(tokenizer) -> tuple[list[bytes], dict[int, str]]:
+    """The bytes of every entry, and the sign of every byte: printable Latin-1 characters stand for themselves, the others for the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [x for x in range(256) if x not in plain]
     back = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
-    return [n.encode() if n in special else bytes(back[c] for c in n) for n in names]
+    return [n.encode() if n in special else bytes(back[c] for c in n) for n in names], {x: c for c, x in back.items()}
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
