@@ -188,16 +188,44 @@ def dup_exists(spark, sf):
     return C.dup_exists(B.dirty(spark, sf), ["name", "email"]).select("row_id", "name", "email")
 
 
-@query("fuzzy_duplicates")
+# narrow columns' ratios first, then common characters as a bound of the others, then all ratios of what is left
+_TEXTS = {c: f"coalesce({c}::VARCHAR, 'None')" for c in MEDIUM_COLS}
+_WIDE = ["id", "name", "salary", "email"]
+
+
+def _common(a: str, b: str) -> str:
+    return f"2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
+
+
+_PAIR_BOUND = " + ".join(_common(f"r.k_{c}", f"s.k_{c}") for c in _WIDE)
+SIMILAR = f"""{B.DIRTY_MEDIUM},
+  rows_ AS (SELECT row_id, {', '.join(f'{t} AS {c}' for c, t in _TEXTS.items())} FROM dirty),
+  reps AS (SELECT min(row_id) AS row_id, {', '.join(MEDIUM_COLS)} FROM rows_ GROUP BY ALL),
+  chars AS (SELECT *, {', '.join(f"list_transform(range(1, length({c}) + 1), lambda i: substr({c}, i::INT, 1) || '#' || length(replace(left({c}, i::INT), substr({c}, i::INT, 1), ''))::INT - i) AS k_{c}" for c in _WIDE)} FROM reps),
+  narrow AS ({' UNION '.join(f"SELECT a.v AS x, b.v AS y FROM (SELECT DISTINCT {c} AS v FROM reps) a, (SELECT DISTINCT {c} AS v FROM reps) b" for c in ('age', 'score', 'dept'))}),
+  {sql_ratio('narrow')},
+  near AS (SELECT r.row_id, s.row_id AS other_id, a.ratio + b.ratio + d.ratio AS known
+    FROM reps r JOIN reps s ON r.row_id > s.row_id JOIN ratios a ON a.x = r.age AND a.y = s.age JOIN ratios b ON b.x = r.score AND b.y = s.score
+    JOIN ratios d ON d.x = r.dept AND d.y = s.dept WHERE a.ratio + b.ratio + d.ratio >= 0.9 - 1e-9),
+  met AS (SELECT n.* FROM near n JOIN chars r ON r.row_id = n.row_id JOIN chars s ON s.row_id = n.other_id WHERE known + {_PAIR_BOUND} >= 4.9 - 1e-9),
+  wide AS ({' UNION '.join(f"SELECT r.{c} AS x, s.{c} AS y FROM met JOIN reps r ON r.row_id = met.row_id JOIN reps s ON s.row_id = other_id" for c in _WIDE)}),
+  {sql_ratio('wide').replace('stretches', 'wide_stretches').replace('ratios', 'wide_ratios')},
+  alike AS (SELECT met.row_id, other_id, round((known + {' + '.join(f'w_{c}.ratio' for c in _WIDE)}) / 7, 9) AS similarity
+    FROM met JOIN reps r ON r.row_id = met.row_id JOIN reps s ON s.row_id = other_id {' '.join(f'JOIN wide_ratios w_{c} ON w_{c}.x = r.{c} AND w_{c}.y = s.{c}' for c in _WIDE)}),
+  matches AS (SELECT * FROM alike WHERE similarity >= 0.7),
+  copies AS (SELECT rows_.row_id, reps.row_id AS other_id FROM rows_ JOIN reps USING ({', '.join(MEDIUM_COLS)}) WHERE rows_.row_id > reps.row_id)"""
+
+
+@query("fuzzy_duplicates", f"""WITH RECURSIVE {SIMILAR} SELECT row_id, max(similarity) AS similarity FROM matches GROUP BY 1 UNION ALL SELECT row_id, 1.0 FROM copies""")
 def fuzzy_duplicates(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.fuzzy_duplicates(d, MEDIUM_COLS)
+    return Z.fuzzy_duplicates(d, MEDIUM_COLS).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("candidate_pairs")
+@query("candidate_pairs", f"""WITH RECURSIVE {SIMILAR} SELECT row_id, other_id, similarity, false AS "copy" FROM matches UNION ALL SELECT row_id, other_id, 1.0, true FROM copies""")
 def candidate_pairs(spark, sf):
     d = B.dirty(spark, sf, "medium")
-    return Z.candidate_pairs(d, MEDIUM_COLS)
+    return Z.candidate_pairs(d, MEDIUM_COLS).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("apply_actions", f"""WITH {B.DIRTY}, act AS (
