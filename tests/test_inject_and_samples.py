@@ -70,10 +70,11 @@ def test_uniform_sample(spark, people):
     assert K.sample_uniform(people.limit(10), 50, strict=False).count() == 10
 
 
-@pytest.mark.parametrize("width", [100, 10_000])
-def test_prioritized_sample(spark, width):
+@pytest.mark.parametrize("fan", [3, 64])
+def test_prioritized_sample(spark, monkeypatch, fan):
+    monkeypatch.setattr(K, "FAN", fan)
     d = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") == 500, 1000.0).otherwise(1.0).alias("priority"))
-    s = K.sample_prioritized(d, 3000, alpha=1.0, beta=1.0, width=width).collect()
+    s = K.sample_prioritized(d, 3000, alpha=1.0, beta=1.0).collect()
     assert sorted(r.draw for r in s) == list(range(3000))
     hot = sum(r.row_id == 500 for r in s)
     assert 1300 < hot < 1700
@@ -81,6 +82,40 @@ def test_prioritized_sample(spark, width):
     assert all(r.weight == pytest.approx(0.001) for r in s if r.row_id == 500)
 
 
+def test_prioritized_sample_edges(spark):
+    """Keys far apart and below zero, one row, no rows; nothing is put in order but a node's children."""
+    import inspect
+
+    far = spark.createDataFrame([(-5, 1.0), (7, 1.0), (10**12, 2.0)], "row_id long, priority double")
+    seen = {}
+    for r in K.sample_prioritized(far, 400, alpha=1.0).collect():
+        seen[r.row_id] = seen.get(r.row_id, 0) + 1
+    assert sorted(seen) == [-5, 7, 10**12] and 160 < seen[10**12] < 240
+    assert K.sample_prioritized(far.limit(1), 9).count() == 9 and K.sample_prioritized(far.limit(0), 9).count() == 0
+    assert "Window" not in inspect.getsource(K)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1001])
+def test_permutations(spark, n):
+    got = spark.range(n).select(*[I.permuted(F.col("id"), n, F.lit("42"), F.lit("t"), F.lit(e)).alias(f"e{e}") for e in range(3)]).collect()
+    for e in range(3):
+        assert sorted(r[e] for r in got) == list(range(n))
+    assert n < 100 or len({tuple(r[e] for r in got) for e in range(3)}) == 3
+
+
+def test_episodes_hold_duplicates_in_an_order_of_their_own(spark, people):
+    few = people.limit(400)
+    e = I.make_episodes(few, 3, "hard").cache()
+    twice = int(400 * vocab.DIRT_LEVELS["hard"]["duplicate"])
+    orders = []
+    for k in range(3):
+        rows = e.filter(F.col("episode") == k).orderBy("row_index").collect()
+        assert [r.row_index for r in rows] == list(range(400 + twice))
+        assert sum("duplicate:row" in r.truth for r in rows) == twice == len(rows) - len({r.row_id for r in rows})
+        orders.append([r.row_id for r in rows])
+    assert len({tuple(o) for o in orders}) == 3 and orders[0] != sorted(orders[0])
+
+
 def test_pages(spark):
     d = spark.range(10).select(F.col("id").alias("row_id")).orderBy("row_id")
     assert [r.row_id for r in K.page(d, 2, 4).collect()] == [4, 5, 6, 7]

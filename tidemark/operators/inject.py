@@ -192,20 +192,61 @@ def people_table(spark: SparkSession, n: int, seed: int = 42, partitions: int |
     return d.select("row_id", "id", "name", "age", salary.alias("salary"), "score", "dept", email.alias("email"))
 
 
-def make_episodes(df: DataFrame, n: int, level: str = "hard", key: str = "row_id", rate: float | None = None) -> DataFrame:
-    """n dirty copies of the table, each hit by its own hashes: column ``episode`` 0..n-1.
+#: Half rounds of a permutation, and times that a value may leave the range before it is given up.
+ROUNDS, WALKS = 4, 32
 
-    The row key of a copy is ``episode:key``, so every injection draws anew in every episode.
+
+def permuted(x: Column, n: int, *tag: Column) -> Column:
+    """The place of x in a permutation of 0..n-1 that the tag picks: nothing is sorted, each row finds its own place.
+
+    A Feistel network on the smallest rectangle that holds n: row and column are shifted in turn by a hash of the other. Fewer than a
+    row of its cells lie beyond n; a value that lands there goes through the network again.
     """
-    many = df.withColumn("episode", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-        "episode_key", F.concat_ws(":", F.col("episode").cast("string"), F.col(key).cast("string")))
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = -(-max(n, 1) // a)
+
+    def once(v: Column) -> Column:
+        row, col = F.call_function("div", v, F.lit(b)), v % b
+        for r in range(ROUNDS):
+            if r % 2 == 0:
+                row = (row + hash32(*tag, F.lit(r), col)) % a
+            else:
+                col = (col + hash32(*tag, F.lit(r), row)) % b
+        return row * b + col
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x.cast("long")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no place in the permutation")).cast("long"))
+
+
+def make_episodes(df: DataFrame, n: int, level: str = "hard", key: str = "row_id", rate: float | None = None, seed: int = 42) -> DataFrame:
+    """n dirty copies of the table, each hit by its own hashes and in its own order: columns ``episode`` 0..n-1 and ``row_index`` from 0.
+
+    The row key of a copy is ``episode:key``, so every injection draws anew in every episode. The level's share of rows, rounded
+    down, stands twice in an episode, three in ten of the second ones with the name in lower case. Both the choice of these and the
+    order of an episode's rows are permutations of row numbers, so an episode costs no sort; the table is numbered once.
+    """
+    rows = with_rank(df, [], key, name="__place").withColumn("__place", F.col("__place") - 1)
+    size = rows.count()
     r = vocab.DIRT_LEVELS[level]
-    kw = dict(key="episode_key")
+    twice = math.floor(size * r["duplicate"])
+    s = F.lit(str(seed))
+    many = rows.withColumn("episode", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+        "episode_key", F.concat_ws(":", F.col("episode").cast("string"), F.col(key).cast("string")))
+    kw = dict(key="episode_key", seed=seed)
     out = inject_missing(many, r["missing"] if rate is None else rate, **kw)
+    if twice:
+        copies = out.withColumn("__nth", permuted(F.col("__place"), size, s, F.lit("duplicate"), F.col("episode"))).where(F.col("__nth") < twice)
+        changes = {"episode_key": F.concat("episode_key", F.lit(":copy")), "__place": F.col("__nth") + size,
+                   TRUTH: F.array_append(TRUTH, F.lit("duplicate:row"))}
+        if "name" in df.columns:
+            lower = gate(0.3, s, F.lit("lower"), F.lit("name"), F.col("episode_key"))
+            changes["name"] = F.when(lower, F.lower("name")).otherwise(F.col("name"))
+        out = out.unionByName(copies.withColumns(changes).drop("__nth"))
     out = inject_outliers(out, r["outlier"], **kw)
     out = inject_category_errors(out, r["category"], **kw)
     out = inject_type_errors(out, r["type"], **kw)
-    return inject_formatting_errors(out, r["formatting"], **kw)
+    out = inject_formatting_errors(out, r["formatting"], **kw)
+    return out.withColumn("row_index", permuted(F.col("__place"), size + twice, s, F.lit("order"), F.col("episode"))).drop("__place")
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42, key: str = "row_id", name: str = "row_id", width: int = 2**24) -> DataFrame:

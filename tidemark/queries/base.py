@@ -82,8 +82,8 @@ PEOPLE = f"""people AS (
   FROM customer)"""
 
 
-def sql_dirty(level: str, source: str = "people", key: str = "row_id", extra: str = "", duplicates: bool = True) -> str:
-    """The injections of a level as a chain of CTEs ending in ``dirty``."""
+def sql_dirty(level: str, source: str = "people", key: str = "row_id", extra: str = "", duplicates: bool = True, episodes: str = "") -> str:
+    """The injections of a level as a chain of CTEs ending in ``dirty``; ``episodes`` selects the duplicates from ``m0`` in place of the usual ones."""
     r = vocab.DIRT_LEVELS[level]
 
     def g(rate, op, col):
@@ -98,7 +98,10 @@ def sql_dirty(level: str, source: str = "people", key: str = "row_id", extra: st
       dept, CASE WHEN {hit(m, 'missing', 'email')} THEN NULL ELSE email END AS email,
       {sql_list(*[(hit(m, 'missing', c), f'missing:{c}') for c in vocab.NULLABLE_COLUMNS])} AS truth FROM {source})"""]
     last = "m0"
-    if r["duplicate"] and duplicates:
+    if episodes:
+        ctes.append(f"m1 AS (SELECT * FROM m0 UNION ALL {episodes})")
+        last = "m1"
+    elif r["duplicate"] and duplicates:
         ctes.append(f"""m1 AS (SELECT * FROM m0 UNION ALL
       SELECT row_id + (SELECT power(10, length(max(row_id)::VARCHAR))::BIGINT FROM m0), id,
         CASE WHEN {g(0.3, 'lower', 'name')} THEN lower(name) ELSE name END, age, salary, score, dept, email,

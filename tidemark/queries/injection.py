@@ -78,15 +78,36 @@ def make_dirty(spark, sf):
     return _out(B.dirty(spark, sf))
 
 
-_EPISODES = f"""{B.PEOPLE}, many AS (SELECT people.*, e.episode::INT AS episode, e.episode::VARCHAR || ':' || row_id::VARCHAR AS episode_key FROM people, (SELECT unnest(range(0, 3)) AS episode) e),
-{B.sql_dirty('hard', 'many', 'episode_key', 'episode, episode_key, ', duplicates=False)}, {B.ISSUES}"""
-
-
-@query("make_episodes", f"""WITH {_EPISODES} SELECT row_id, episode, age, salary, score, name, dept, email, array_to_string(issues, ',') AS issues FROM found""")
+def sql_permuted(x: str, n: str, rows: str, cols: str, tag: str) -> str:
+    """SQL of ``inject.permuted``: ``rows`` and ``cols`` are the sides of the rectangle."""
+    def once(v: str) -> str:
+        row, col = f"({v} // {cols})", f"({v} % {cols})"
+        for r in range(I.ROUNDS):
+            if r % 2 == 0:
+                row = f"(({row} + {B.sql_hash(f"'{B.SEED}'", f"'{tag}'", 'episode::VARCHAR', f"'{r}'", f'{col}::VARCHAR')}) % {rows})"
+            else:
+                col = f"(({col} + {B.sql_hash(f"'{B.SEED}'", f"'{tag}'", 'episode::VARCHAR', f"'{r}'", f'{row}::VARCHAR')}) % {cols})"
+        return f"({row} * {cols} + {col})"
+
+    return f"list_reduce(list_prepend({once(x)}, range(0, {I.WALKS})), lambda v, u: CASE WHEN v < {n} THEN v ELSE {once('v')} END)"
+
+
+_TWICE = f"floor(n * {vocab.DIRT_LEVELS['hard']['duplicate']!r}::DOUBLE)::BIGINT"
+_EPISODES = f"""{B.PEOPLE}, sizes AS (SELECT count(*)::BIGINT AS n, {_TWICE} AS m FROM people),
+sides AS (SELECT *, ceil(sqrt(n))::BIGINT AS da, ceil(sqrt(n + m))::BIGINT AS oa FROM sizes), 
+shape AS (SELECT *, ceil(n / da::DOUBLE)::BIGINT AS db, ceil((n + m) / oa::DOUBLE)::BIGINT AS ob FROM sides),
+numbered AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS place FROM people),
+many AS (SELECT numbered.*, e.episode::INT AS episode, e.episode::VARCHAR || ':' || row_id::VARCHAR AS episode_key FROM numbered, (SELECT unnest(range(0, 3)) AS episode) e),
+{B.sql_dirty('hard', 'many', 'episode_key', 'episode, episode_key, place, ', episodes=f"""SELECT row_id, episode, episode_key || ':copy', nth + n, id,
+    CASE WHEN {B.sql_gate(0.3, 'lower', 'name', 'episode_key')} THEN lower(name) ELSE name END, age, salary, score, dept, email, list_append(truth, 'duplicate:row')
+  FROM (SELECT *, {sql_permuted('place', 'n', 'da', 'db', 'duplicate')} AS nth FROM m0, shape) WHERE nth < m""")}, {B.ISSUES}"""
+
+
+@query("make_episodes", f"""WITH {_EPISODES} SELECT row_id, episode, {sql_permuted('place', '(n + m)', 'oa', 'ob', 'order')} AS row_index, age, salary, score, name, dept, email, array_to_string(issues, ',') AS issues FROM found, shape""")
 def make_episodes(spark, sf):
     e = I.make_episodes(B.people(spark, sf), 3)
     d = detect_issues(e, people_rules(e))
-    return d.select("row_id", "episode", "age", "salary", "score", "name", "dept", "email", F.array_join("issues", ",").alias("issues"))
+    return d.select("row_id", "episode", "row_index", "age", "salary", "score", "name", "dept", "email", F.array_join("issues", ",").alias("issues"))
 
 
 SCORED = f"""WITH {B.DIRTY}, {B.ISSUES}, t AS (SELECT DISTINCT row_id, unnest(truth) AS i FROM dirty), f AS (SELECT row_id, unnest(issues) AS i FROM found),
