@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions import predicates as P
 from tidemark.functions.scalars import clamp
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import weighted_quantiles
+from tidemark.session import cut
 
 
 def _cells(df: DataFrame, skip: Sequence[str]) -> list[T.StructField]:
@@ -89,63 +90,69 @@ def projected_metrics(before: DataFrame, skip: Sequence[str] = ("row_id",)) -> D
     )
 
 
+def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """(column, v, d, n): how often each value of each column occurs, as text and, for numbers, as a double; NULL is a value.
+
+    One scan for all columns; equal values fold before the exchange.
+    """
+    cells = [F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("v"),
+                      (F.col(f.name).cast("double") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")).alias("d")) for f in fields]
+    return df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.column", "x.v", "x.d").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(df: DataFrame, skip: Sequence[str] = ("row_id",), approximate: bool = False) -> DataFrame:
     """One row per column: type, rows, missing, distinct, and for numbers min, quartiles, max, outliers.
 
-    ``approximate`` swaps the distinct counts and quartiles for sketches: one pass, no exchange of values.
+    The table is read once, into counts of each column's values; all figures come from these. ``approximate`` swaps the distinct
+    counts and quartiles for sketches: no exchange of values.
     """
     fields = _cells(df, skip)
+    if approximate:
+        return _sketched_profile(df, fields)
+    kinds = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i, isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType)))
+                                             for i, f in enumerate(fields)], "column string, type string, i int, is_text boolean")
+    counts = cut(value_counts(df, fields), "values")
+    empty = F.col("v").isNull() | F.isnan("d") | (F.col("is_text") & (P.strip(F.col("v")) == ""))
+    flat = counts.join(F.broadcast(kinds), "column").groupBy("column", "type").agg(  # a row per column of the table
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("missing"), F.count("v").alias("distinct"),
+        F.min("d").alias("min"), F.max("d").alias("max"))
+    at = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    numbers = counts.where("d IS NOT NULL AND NOT isnan(d)").select("column", F.col("d").alias("v"), "n")
+    q = weighted_quantiles(numbers, ["column"], list(at), "n", True).groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == k, F.col("value"))).alias(v) for k, v in at.items()])
+    lo, hi = P.fence(F.col("q1"), F.col("q3"))
+    outliers = counts.join(F.broadcast(q), "column").groupBy("column").agg(
+        F.coalesce(F.sum(F.when((F.col("d") < lo) | (F.col("d") > hi), F.col("n"))), F.lit(0)).alias("outliers"))
+    found = kinds.select("column", "type").join(flat.drop("type"), "column", "left").join(q, "column", "left").join(outliers, "column", "left")
+    return found.select("column", "type", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing"),
+                        F.coalesce("distinct", F.lit(0)).cast("bigint").alias("distinct"), "min", "q1", "median", "q3", "max", "outliers")
+
+
+def _sketched_profile(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """One pass of sketches, and one for the outliers beyond their fences."""
     numeric = [f for f in fields if isinstance(f.dataType, T.NumericType)]
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
-        aggs.append(F.count_if(P.missing(c, "blank", f.dataType)).alias(f"m{i}"))
+        aggs += [F.count_if(P.missing(c, "blank", f.dataType)).alias(f"m{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
         if f in numeric:
-            aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
-        if approximate:
-            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
-    flat = df.agg(*aggs)
+            aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"),
+                     F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"q{i}")]
     none = F.lit(None).cast("double")
-    rows = flat.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("rows"),
-            F.col(f"m{i}").alias("missing"),
-            (F.col(f"lo{i}") if f in numeric else none).alias("min"),
-            (F.col(f"hi{i}") if f in numeric else none).alias("max"),
-            (F.col(f"d{i}") if approximate else F.lit(None).cast("bigint")).alias("approx_distinct"),
-        ) for i, f in enumerate(fields)])))
-    if approximate:
-        rows = rows.withColumnRenamed("approx_distinct", "distinct")
-    else:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("v")) for f in fields
-        ])).alias("x")).select("x.*").filter(F.col("v").isNotNull())
-        distinct = long.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(
-            F.count(F.lit(1)).alias("distinct"))
-        rows = rows.drop("approx_distinct").join(distinct, "column", "left").withColumn(
-            "distinct", F.coalesce("distinct", F.lit(0)).cast("bigint"))
+    flat = df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("rows"), F.col(f"m{i}").alias("missing"),
+                 F.col(f"d{i}").alias("distinct"), *[(F.col(x) if f in numeric else none).alias(y) for x, y in (
+                     (f"lo{i}", "min"), (f"hi{i}", "max"))],
+                 *[(F.col(f"q{i}")[k].cast("double") if f in numeric else none).alias(y) for k, y in enumerate(("q1", "median", "q3"))])
+        for i, f in enumerate(fields)])))
     if not numeric:
-        return rows.select("column", "type", "rows", "missing", "distinct", "min",
-                           none.alias("q1"), none.alias("median"), none.alias("q3"), "max",
-                           F.lit(None).cast("bigint").alias("outliers"))
-    names = [f.name for f in numeric]
-    if approximate:
-        q = df.agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 10000).alias(n) for n in names]).select(
-            F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n)[0].cast("double").alias("q1"),
-                                        F.col(n)[1].cast("double").alias("median"),
-                                        F.col(n)[2].cast("double").alias("q3")) for n in names])))
-    else:
-        at = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-        q = exact_quantiles(df, names, list(at)).groupBy("column").agg(
-            *[F.max(F.when(F.col("q") == k, F.col("value"))).alias(v) for k, v in at.items()])
+        return flat.select("column", "type", "rows", "missing", "distinct", "min", "q1", "median", "q3", "max", F.lit(None).cast("bigint").alias("outliers"))
     # one entry per column of the table
-    fences = q.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "q3")))).alias("f"))
-    checked = df.select(*names).withColumn("__f", fences.scalar())
+    fences = flat.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "q3")))).alias("f"))
+    checked = df.select(*[f.name for f in numeric]).withColumn("__f", fences.scalar())
     outs = []
-    for n in names:
-        lo, hi = P.fence(F.col("__f")[n]["q1"], F.col("__f")[n]["q3"])
-        outs.append(F.count_if((F.col(n) < lo) | (F.col(n) > hi)).alias(n))
-    outliers = checked.agg(*outs).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(n).alias("outliers")) for n in names])))
-    return rows.join(q, "column", "left").join(outliers, "column", "left").select(
-        "column", "type", "rows", "missing", "distinct", "min", "q1", "median", "q3", "max", "outliers")
+    for f in numeric:
+        lo, hi = P.fence(F.col("__f")[f.name]["q1"], F.col("__f")[f.name]["q3"])
+        outs.append(F.count_if((F.col(f.name) < lo) | (F.col(f.name) > hi)).alias(f.name))
+    outliers = checked.agg(*outs).select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("outliers")) for f in numeric])))
+    return flat.join(outliers, "column", "left").select("column", "type", "rows", "missing", "distinct", "min", "q1", "median", "q3", "max", "outliers")

@@ -44,14 +44,16 @@ def _bucket(k: Column, lo: Column, hi: Column, buckets: int) -> Column:
     return F.when(hlo == hhi, k - lo).otherwise(F.call_function("div", h - hlo, width))
 
 
-def select_ranks(values: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Column], few: bool, buckets: int = BUCKETS) -> DataFrame:
+def select_ranks(values: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Column], few: bool, buckets: int = BUCKETS,
+                 weight: str | None = None) -> DataFrame:
     """(keys, n, rank, value): the values at 0-based ranks of each group of ``values`` (keys, v; no null, no NaN).
 
-    ``ranks`` makes an array of ranks from the group's number of values ``n``. Groups may be of any size. Where they are
+    A row stands for ``weight`` equal values. ``ranks`` makes an array of ranks from the group's number of values ``n``. Groups may be of any size. Where they are
     ``few`` - columns of a table - a row per rank stays with the driver between rounds, else in the shared folder.
     """
     keys = list(keys)
-    state = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    state = values.groupBy(*keys).agg(times.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
     state = state.select(*keys, "n", F.explode(F.array_distinct(ranks(F.col("n")).cast("array<long>"))).alias("rank"), "lo", "hi").select(
         *keys, "n", "rank", F.col("rank").alias("left"), "lo", "hi")
 
@@ -69,7 +71,7 @@ def select_ranks(values: DataFrame, keys: Sequence[str], ranks: Callable[[Column
         met = null_safe(values, F.broadcast(open_) if few else open_, keys, "inner")
         met = with_order_key(met.where(F.col("v").between(F.col("lo"), F.col("hi"))), "v", "__k")
         counts = met.groupBy(*keys, "lo", "hi", _bucket(F.col("__k"), F.col("__klo"), F.col("__khi"), buckets).alias("__b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("l"), F.max("v").alias("h"))
+            times.alias("c"), F.min("v").alias("l"), F.max("v").alias("h"))
         # at most ``buckets`` entries and one
         tables = counts.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("__b", "c", "l", "h"))).alias("__t"))
         found = F.aggregate("__t", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("double").alias("l"),
@@ -96,17 +98,22 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by:
     by = list(by)
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in dict.fromkeys(cols)]
     values = df.select(*by, F.explode(F.array(*cells)).alias("x")).select(*by, "x.*").where("v IS NOT NULL AND NOT isnan(v)")
+    return weighted_quantiles(values, [*by, "column"], qs, None, not by, buckets)
+
+
+def weighted_quantiles(values: DataFrame, keys: Sequence[str], qs: Sequence[float], weight: str | None, few: bool, buckets: int = BUCKETS) -> DataFrame:
+    """``keys, q, n, value`` of ``values`` as :func:`select_ranks` takes them, linearly interpolated."""
     places = [F.lit(float(q)) * (F.col("n") - 1) for q in qs]
     both = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
-    found = select_ranks(values, [*by, "column"], lambda n: F.array(*both), not by, buckets)
-    tables = found.groupBy(*by, "column", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__m"))
+    found = select_ranks(values, keys, lambda n: F.array(*both), few, buckets, weight)
+    tables = found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__m"))
 
     def at(p: Column) -> Column:
         lo, hi = (F.element_at("__m", f(p).cast("long")) for f in (F.floor, F.ceil))
         return lo + (hi - lo) * (p - F.floor(p))
 
-    return tables.select(*by, "column", "n", F.explode(F.array(*[
-        F.struct(F.lit(float(q)).alias("q"), at(p).alias("value")) for q, p in zip(qs, places)])).alias("x")).select(*by, "column", "x.q", "n", "x.value")
+    return tables.select(*keys, "n", F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), at(p).alias("value")) for q, p in zip(qs, places)])).alias("x")).select(*keys, "x.q", "n", "x.value")
 
 
 def quantile_struct(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (),
