@@ -34,6 +34,23 @@ def test_base_spans_equal_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
 
 
+def test_long_runs_and_many_hits(spark):
+    """One run of random characters, many hits, and strings beside and across spans: the work grows with the text."""
+    rnd = random.Random(5)
+    run = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(300_000))
+    hits = " ".join("%016x" % rnd.getrandbits(64) for _ in range(9_000))
+    mixed = " ".join("%016x" % rnd.getrandbits(64) if i % 2 else f"Zz{'%016x' % rnd.getrandbits(64)}-tail" for i in range(2_000))
+    m = secrets.fit(spark.createDataFrame(model(), "random boolean, string string"))
+    texts = [run, hits, mixed]
+    got = {r.doc_id: r.found for r in secrets.find_secrets(docs(spark, texts, parts=1), m).collect()}
+    for i, t in enumerate(texts):
+        assert [(x.start, x.order, x.kind, x.end) for x in got[i] if x.kind != "markov"] == brute(t)
+        taken = [(a, b) for a, _, _, b in brute(t)]
+        free = [x for x in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", t) if not any(a < x.end() and x.start() < b for a, b in taken)] if i != 1 else []
+        assert {(x.start, x.end) for x in got[i] if x.kind == "markov"} <= {(x.start(), x.end()) for x in free}
+    assert any(x.kind == "markov" for x in got[0])
+
+
 def test_markov_tells_random_from_identifiers(spark):
     m = secrets.fit(spark.createDataFrame(model(), "random boolean, string string"))
     rnd = random.Random(11)

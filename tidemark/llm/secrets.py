@@ -24,6 +24,8 @@ SAMPLE_DOCS = 4_000
 THRESHOLD = 12.0
 #: Counts that each pair of characters starts with: the random model's start it as a uniform source.
 PRIOR_RANDOM, PRIOR_ORDINARY = 2.0, 0.1
+#: Matches that are walked at a time; characters of a stretch of text at least, and stretches of a text at most.
+BLOCK, STRETCH, STRETCHES = 64, 4_096, 256
 
 
 def _keyed(pattern: str, kind: str) -> str:
@@ -40,19 +42,43 @@ def _positions(text: Column, pattern: str, value_group: int = 0, least: int = 0)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     rows = F.arrays_zip(found.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("g"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        F.filter(rows, lambda r: r["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+    walked = once(F.filter(rows, lambda r: r["m"].isNotNull()), _walk_blocks)
+    kept = F.filter(walked, lambda s: F.char_length(s["value"]) >= least) if least else walked
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(SPANS))
+
+
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often and wherever it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _walk_blocks(rows: Column) -> Column:
+    """Spans of all matches. A list that grows is copied each time, so none grows beyond a block: each is walked from its own start."""
+    def of(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, x: F.struct(
+            (acc["at"] + x["n"]).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, at: _walk(x["rs"], at)))
+
+    cut = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(rows) - 1, F.lit(BLOCK)).cast("int")), lambda k: F.slice(rows, k * BLOCK + 1, F.lit(BLOCK)))
+    return once(F.transform(cut, lambda rs: F.struct(rs.alias("rs"), F.aggregate(rs, F.lit(0), lambda n, r: n + _length(r)).alias("n"))), of)
+
+
+def _length(r: Column) -> Column:
+    return F.char_length(r["g"]) + F.char_length(r["m"])
+
+
+def _walk(rows: Column, at: Column) -> Column:
+    """The spans of a block's matches from the place where the block begins."""
+    return F.aggregate(
+        rows, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")),
         lambda acc, r: F.struct(
-            (acc["at"] + F.char_length(r["g"]) + F.char_length(r["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.char_length(r["g"])).alias("start"),
-                (acc["at"] + F.char_length(r["g"]) + F.char_length(r["m"])).alias("end"),
-                r["v"].alias("value")))).alias("out")),
+            (acc["at"] + _length(r)).alias("at"),
+            F.array_append(acc["out"], F.struct((acc["at"] + F.char_length(r["g"])).alias("start"), (acc["at"] + _length(r)).alias("end"),
+                                                r["v"].alias("value"))).alias("out")),
         lambda acc: acc["out"])
-    kept = F.filter(walked, lambda s: F.char_length(s["value"]) >= least) if least else walked
-    return F.when(text.rlike(pattern), kept).otherwise(empty)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -63,10 +89,13 @@ def base_spans(text: Column, kind: str) -> Column:
 def _pairs(strings: Column) -> Column:
     """array<int>: codes of neighbouring characters, prev * n + next; 0 stands for the start and for other characters."""
     n = len(SYMBOLS) + 1
-    code = lambda s, i: F.position(F.substring(s, i, F.lit(1)), F.lit(SYMBOLS))
-    return F.flatten(F.transform(strings, lambda s: F.transform(
-        F.sequence(F.lit(1), F.char_length(s)),
-        lambda i: F.when(i == 1, F.lit(0)).otherwise(code(s, F.greatest(i - 1, F.lit(1)))) * n + code(s, i))))
+
+    def of(string: Column) -> Column:
+        # characters by one split: a place in a string is found from its start each time
+        codes = F.transform(F.filter(F.split(string, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(SYMBOLS)))
+        return once(codes, lambda cs: F.zip_with(F.slice(F.concat(F.array(F.lit(0)), cs), F.lit(1), F.size(cs)), cs, lambda before, c: before * n + c))
+
+    return F.flatten(F.transform(strings, of))
 
 
 def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -119,14 +148,31 @@ def find_secrets(docs: DataFrame, model: list[int], id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t")).select(
         "doc_id", *[base_spans(F.col("__t"), k).alias(f"__{k}") for k in BASE],
-        _positions(F.col("__t"), CANDIDATE).alias("__strings"))
+        _positions(F.col("__t"), CANDIDATE).alias("__strings"), "__t")
+
     def as_found(spans, order: int, kind: str) -> Column:
         return F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     base = F.concat(*[as_found(F.col(f"__{k}"), i, k) for i, k in enumerate(BASE)])
-    random = F.filter("__strings", lambda s: (ratio(s["value"], model) >= threshold) & ~F.exists(
-        "__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # base spans by the stretches of text that they reach into, so that a string meets those near it only
+    width = F.greatest(F.lit(STRETCH), F.call_function("div", F.char_length("__t"), F.lit(STRETCHES)).cast("int"))
+
+    def untouched(x: Column) -> Column:
+        base, strings, w = x["base"], x["strings"], x["w"]
+
+        def at(place: Column) -> Column:
+            return F.call_function("div", place, w).cast("int")
+
+        def among(near: Column) -> Column:
+            return F.filter(strings, lambda s: ~F.exists(F.slice(near, at(s["start"]) + 1, at(s["end"] - 1) - at(s["start"]) + 1), lambda bs: F.exists(
+                bs, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+
+        stretches = F.transform(F.sequence(F.lit(0), at(x["length"])), lambda k: F.filter(base, lambda b: (at(b["start"]) <= k) & (k <= at(b["end"] - 1))))
+        return F.when((F.size(base) > 0) & (F.size(strings) > 0), once(stretches, among)).otherwise(strings)
+
+    alone = once(F.struct(F.col("__base").alias("base"), F.col("__strings").alias("strings"), width.alias("w"), F.char_length("__t").alias("length")), untouched)
+    random = F.filter(alone, lambda s: ratio(s["value"], model) >= threshold)
     found = F.array_sort(F.concat("__base", as_found(random, len(BASE), "markov")))
     return named.withColumn("__base", base).select("doc_id", found.alias("found"))
 
