@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidemark.llm import exact_dedup as dedup
 from tidemark.llm import alignment, language, mixing, packing, prefix_trie, secrets, simhash, substrings, token_store, topk, toxicity, warc
 from tidemark.llm.common import ascii_lower, crc_mod, table
@@ -191,4 +190,3 @@ def op13_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
