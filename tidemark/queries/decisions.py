@@ -173,9 +173,23 @@ def shaped_reward_repairs(spark, sf):
     return R.repair_rewards(B.decisions(spark, sf)).select("row_id", "total_steps", "contradiction", "consistency", F.round("reward", 6).alias("reward"))
 
 
-@query("shaped_reward")
+# row after row of an episode's action, with the signs of its last hundred steps
+_sql_bonus = "CASE WHEN len(h) = 0 THEN 0 WHEN len(list_filter(h, lambda x: x.p)) / len(h)::DOUBLE >= 0.8 THEN 0.1 WHEN len(list_filter(h, lambda x: x.p)) / len(h)::DOUBLE >= 0.6 THEN 0.05 ELSE 0 END::DOUBLE"
+SIGNED = f"""{SHAPED},
+terms AS (SELECT row_id, episode, action_type, step, {_sql_base} + progress AS earlier, contradiction AS clash, {_sql_adj} AS adj, {_sql_skip} AS bonus,
+    row_number() OVER (PARTITION BY episode, action_type ORDER BY step) AS k FROM shaped),
+signed AS (
+  SELECT row_id, episode, action_type, step, k, 0::DOUBLE AS steady, earlier + 0 + clash + adj + bonus AS total, [{{'s': step, 'p': earlier + 0 + clash + adj + bonus > 0}}] AS seen
+  FROM terms WHERE k = 1
+  UNION ALL
+  SELECT row_id, episode, action_type, step, k, steady, earlier + steady + clash + adj + bonus, list_append(h, {{'s': step, 'p': earlier + steady + clash + adj + bonus > 0}})
+  FROM (SELECT *, {_sql_bonus} AS steady FROM (SELECT t.*, list_filter(r.seen, lambda x: x.s >= t.step - 100) AS h
+    FROM signed r JOIN terms t ON t.episode = r.episode AND t.action_type = r.action_type AND t.k = r.k + 1)))"""
+
+
+@query("shaped_reward", f"""WITH RECURSIVE {B.DECISIONS}, {SIGNED} SELECT row_id, action_type, steady AS consistency, round(greatest(-1, least(1, total)), 6) AS reward FROM signed""")
 def shaped_reward(spark, sf):
-    return R.shaped_reward(B.decisions(spark, sf)).select("row_id", "action_type", F.round("reward", 6).alias("reward"))
+    return R.shaped_reward(B.decisions(spark, sf)).select("row_id", "action_type", "consistency", F.round("reward", 6).alias("reward"))
 
 
 @query("progress_bonus", f"""WITH {B.DECISIONS} SELECT row_id, round(floor(step / count(*) OVER (PARTITION BY episode)::DOUBLE * 5) * 0.05::DOUBLE, 6) AS bonus FROM decisions""")
