@@ -116,10 +116,25 @@ def test_agent_history_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         q = T.stream_agent_history(spark.readStream.schema(schema).parquet(src), out, state)
         q.awaitTermination()
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"v{b}" for b in range(max(0, batch - 1), batch + 1)]
     got = {r.agent: (r.reward_avg, r.kept) for r in T.snapshot_averages(spark, out, 2).collect()}
     assert got["hot"] == (2.0, 100) and got["cold"][1] == 100 and 1.0 < got["cold"][0] < 2.0
 
 
+def test_scratch_goes_with_its_block(spark, tmp_path, monkeypatch):
+    from tidemark import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    outer = session.cut(spark.range(3), "outer")
+    with session.scratch(spark):
+        inner = session.cut(outer, "inner")
+        with session.scratch(spark):
+            session.cut(inner, "innermost")
+            assert len(list(tmp_path.iterdir())) == 3
+        assert inner.count() == 3
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["outer"] and outer.count() == 3
+
+
 def test_stream_audit_repeats_nothing(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     events(spark, src, [(i, at(i), 0.0) for i in range(5)])

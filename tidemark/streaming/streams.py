@@ -13,6 +13,7 @@ from tidemark.functions import predicates as P
 from tidemark.operators.detect import Rule, detect_issues, people_rules
 from tidemark.operators.history import last_rewards
 from tidemark.plans.cleaning import clean, decide, stateless
+from tidemark.session import remove_folder
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,7 +80,7 @@ def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vo
 
     A batch is cut down to n rows per agent and task before anything is exchanged, so an agent that makes
     most of the decisions costs no more than the others. Snapshots are named by batch, hence a batch that
-    runs twice writes the same one.
+    runs twice writes the same one. The one before stays for that, older ones go.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -87,6 +88,8 @@ def stream_agent_history(sdf: DataFrame, path: str, checkpoint: str, n: int = vo
         if batch_id > 0:
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/v{batch_id - 1}"))
         newest(rows, n).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        if batch_id > 1:
+            remove_folder(spark, f"{path}/v{batch_id - 2}")
 
     return (sdf.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
