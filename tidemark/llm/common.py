@@ -35,6 +35,20 @@ def only_store(name: str) -> dict:
     return stores.setdefault(name, {})
 
 
+def release() -> None:
+    """Give freed memory back at a task's end: a worker that waits for its next task would keep it beside the executor's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def set_aside(df: DataFrame, *but: str) -> tuple[DataFrame, dict[str, str]]:
     """The frame with its columns that begin with two underscores, as the operators' own do, under other names, and the names to
     give back."""

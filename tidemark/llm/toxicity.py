@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import ship, worker_store
+from tidemark.llm.common import release, ship, worker_store
 
 #: Labelled rows that the lexicon and the weights are fitted on (those with the smallest hash of the id).
 TRAIN_DOCS = 20_000
@@ -243,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     place = F.pmod(F.xxhash64("__id"), F.lit(space))
     chosen = known.where(place < (space if count <= 2 * train_docs else 2 * train_docs * space // count)).groupBy("__id").agg(
         F.max("__toxic").alias("__toxic")).orderBy(place, "__id").limit(train_docs)
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(
-        F.col("__toxic").alias("toxic"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "__id").select(F.col("__toxic").alias("toxic"), "text")
     totals = sample.agg(F.sum("toxic").alias("yes"), F.count(F.lit(1)).alias("n")).first()
     yes, no = totals.yes or 0, totals.n - (totals.yes or 0)
     if not yes or not no:
@@ -291,7 +291,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         automaton = model.automaton
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "", automaton) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t.as_py() or "", automaton) < 0.5 for t in batch.column(at)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
