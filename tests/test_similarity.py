@@ -157,3 +157,26 @@ def test_few_pairs_meet(spark):
     n, met = reps.count(), Z.meeting_pairs(reps, texts, 0.7).count()
     print(f"{met} of {n * (n - 1) // 2} pairs meet")
     assert met < 0.01 * n * (n - 1) / 2
+
+
+def test_best_matches_without_all_that_reach_the_threshold(spark, monkeypatch):
+    """The best sums known so far decide what is looked at, not the threshold alone; several places, pieces and stretches."""
+    monkeypatch.setattr(Z, "meeting_pairs", None)
+    for name, value in {"PIECE": 15, "PASSING": 70, "CLASSES": 9, "NEIGHBOURS": 2}.items():
+        monkeypatch.setattr(Z, name, value)
+    rnd = random.Random(8)
+    pools = {"a": words(3, 1), "b": words(12, 2), "c": words(700, 3, "abcdefghij", 12)}
+    rows = [{"row_id": i, "g": i % 2, **{c: rnd.choice([*pool, None]) for c, pool in pools.items()}} for i in range(220)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id int, g int, a string, b string, c string")
+    out = Z.fuzzy_duplicates(df, list("abc"), [F.col("g")], threshold=0.6)
+    want = brute(rows, list("abc"), "g", 0.6)
+    assert dict(out.dtypes)["row_id"] == "int" and want
+    assert {r.row_id: r.similarity for r in out.collect()} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_remembered_ratios_are_bounded(monkeypatch):
+    monkeypatch.setattr(X, "REMEMBERED", 5)
+    ratio = X.matcher()()
+    for i in range(50):
+        ratio(f"{i}x", "x")
+    assert len(ratio.__closure__[[c for c in ratio.__code__.co_freevars].index("seen")].cell_contents) <= 5
