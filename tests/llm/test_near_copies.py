@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tests.llm.test_mixing import brute as brute_mix
 from tests.llm.test_simhash import groups as linked_groups
 from tests.llm.util import WORD, clashing, docs, frame, low
 from tidemark.llm import near_copies as N
+from tidemark.llm.simhash import majority
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +81,19 @@ def test_mixing_after_the_stage(spark):
     for r in corpus_pipeline.mix_sources(spark, before, SF).collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + len(WORD.findall(r.text))
     assert taken == {i: v[3] for i, v in brute_mix([(r.doc_id, r.text, r.source) for r in before.collect()]).items() if v[3]}
+
+
+def test_fingerprints_in_a_tree_find_the_candidates():
+    """Pairs at 0.8 lie within the radius; the tree finds what is near without a shared band, and nothing beyond the radius."""
+    random = np.random.default_rng(1)
+    nodes, sets, pairs = [], [], 0
+    for n in [9, 36, 90, 450] * 60:
+        common, own = random.integers(0, 1 << 64, 8 * n // 9, np.uint64), random.integers(0, 1 << 64, 2 * (n // 9), np.uint64)
+        for half in np.split(own, 2):
+            sets.append(np.unique(np.concatenate([common, half])))
+            nodes.append(len(nodes))
+        pairs += 1
+    found = N._links(nodes, sets, 0.8)
+    assert sorted(found) == [(2 * k + 1, 2 * k) for k in range(pairs)]
+    far = sum((majority(sets[2 * k]) ^ majority(sets[2 * k + 1])).bit_count() > 8 for k in range(pairs))
+    assert far > pairs / 2 and len(N._links(nodes, sets, 0.8, 8)) == pairs - far

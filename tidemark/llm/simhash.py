@@ -36,6 +36,11 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:len(w) - words + 1].tolist(), ends[words - 1:].tolist())),
                          np.uint64, len(w) - words + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[i:i + (1 << 16)])
