@@ -205,17 +205,24 @@ def permuted(x: Column, n: int, *tag: Column) -> Column:
     a = max(1, math.isqrt(max(n, 1) - 1) + 1)
     b = -(-max(n, 1) // a)
 
+    def turned(at: Column, r: Column) -> Column:
+        row, col = at["row"], at["col"]
+        return F.when(r % 2 == 0, F.struct(((row + hash32(*tag, r, col)) % a).alias("row"), col.alias("col"))).otherwise(
+            F.struct(row.alias("row"), ((col + hash32(*tag, r, row)) % b).alias("col")))
+
     def once(v: Column) -> Column:
-        row, col = F.call_function("div", v, F.lit(b)), v % b
-        for r in range(ROUNDS):
-            if r % 2 == 0:
-                row = (row + hash32(*tag, F.lit(r), col)) % a
-            else:
-                col = (col + hash32(*tag, F.lit(r), row)) % b
-        return row * b + col
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x.cast("long")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no place in the permutation")).cast("long"))
+        start = F.struct(F.call_function("div", v, F.lit(b)).cast("long").alias("row"), (v % b).cast("long").alias("col"))
+        return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), start, turned, lambda at: at["row"] * b + at["col"])
+
+    def given(v: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is worked out once, however often it is used."""
+        return F.get(F.transform(F.array(v), then), F.lit(0))
+
+    def again(v: Column) -> Column:
+        return F.when(v < n, v).otherwise(once(v))
+
+    walked = given(once(x.cast("long")), lambda v: F.when(v < n, v).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), v, lambda w, _: again(w))))
+    return given(walked, lambda w: F.when(w < n, w).otherwise(F.raise_error(F.lit("no place in the permutation")).cast("long")))
 
 
 def make_episodes(df: DataFrame, n: int, level: str = "hard", key: str = "row_id", rate: float | None = None, seed: int = 42) -> DataFrame:
