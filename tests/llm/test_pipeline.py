@@ -69,3 +69,26 @@ def test_run_takes_repeated_and_null_ids(spark, tmp_path):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert 1 <= docs.where("doc_id IS NOT NULL").count() <= 2 and 1 <= docs.where("doc_id IS NULL").count() <= 2
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def written(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_stages_write_no_texts_beside_their_rows(spark, tmp_path):
+    """Rows are told apart by their ids, so no stage keeps a second copy of all texts, and shuffle files go with the step that made them."""
+    rnd = np.random.default_rng(1)
+    texts = [" ".join(map(str, rnd.integers(0, 10**9, 1_000))) for _ in range(40)]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts + texts[:4])],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs, old = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.checkpoint.dir", None)
+    size = written(tmp_path / "docs")
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/{name}")
+            assert stage(spark, docs, str(tmp_path)).count() >= 40
+            print(f"{name}: {written(tmp_path / name)} of {size} bytes")
+            assert written(tmp_path / name) < size / 2
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.session import cut
 
+#: Bits of the filter that carries keys to a scan: 2**23 bits are at most 256 rows of 4 KB, 1 MB whatever the size of
+#: the table. Keys that share a bit cost needless work on a row, never a result.
+FILTER_BITS = 23
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -78,9 +82,55 @@ def crc_mod(id_: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """The rows with a key of their own, ``__row``, written to the shared folder so that it stays the same."""
-    return cut(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def _slot(keys: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+
+
+def key_bits(rows: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The bitmap of the rows' ``keys``, in rows of 4 KB."""
+    return rows.select(_slot(keys, bits).alias("__s")).groupBy(F.bitmap_bucket_number("__s").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__s")).alias("__bits"))
+
+
+def flagged(rows: DataFrame, keys: list[str], filled: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds a boolean: false only where the row's ``keys`` aren't in the bitmap ``filled``."""
+    position = F.bitmap_bit_position(_slot(keys, bits))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.pmod(position, F.lit(8)).cast("int"))
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(_slot(keys, bits)))
+            .join(F.broadcast(filled), "__bucket", "left")
+            .withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits"))
+
+
+def may_repeat(rows: DataFrame, keys: list[str], counted: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds a boolean: false only where no other row has the same ``keys``. ``counted`` has the rows whose keys count."""
+    repeated = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return flagged(rows, keys, key_bits(repeated, keys, bits), flag, bits)
+
+
+def keyed(df: DataFrame, id_col: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows with a key of their own, the text ``__row``. A row whose id no other row has is named by the id and stays where it
+    is; only rows without an id, or that may share theirs, are numbered and written, so that their number stays the same."""
+    ids = df.select(F.col(id_col).alias("__id"))
+    repeated = ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    marked = flagged(df.withColumn("__id", F.col(id_col)), ["__id"], cut(key_bits(repeated, ["__id"], bits), "bits"), "__odd", bits)
+    odd = F.col("__odd") | F.col("__id").isNull()
+    number = F.concat(F.lit("n"), F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+    numbered = cut(marked.where(odd).drop("__id", "__odd").withColumn("__row", number), "rows")
+    return marked.where(~odd).withColumn("__row", F.concat(F.lit("i"), F.col("__id").cast("string"))).drop("__id", "__odd").unionByName(numbered)
+
+
+def without(rows: DataFrame, gone: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``__row`` isn't in ``gone``. A bitmap lets most of those that stay pass where they are read; the others are joined."""
+    marked = flagged(rows, ["__row"], cut(key_bits(gone, ["__row"], bits), "bits"), "__hit", bits)
+    stay = marked.where("__hit").drop("__hit").join(gone, "__row", "left_anti")
+    return marked.where("NOT __hit").drop("__hit").unionByName(stay)
+
+
+def among(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``__row`` is in ``wanted``, with its columns (one row per ``__row``); a bitmap drops most others before the join."""
+    marked = flagged(rows, ["__row"], cut(key_bits(wanted, ["__row"], bits), "bits"), "__hit", bits)
+    return marked.where("__hit").drop("__hit").join(wanted, "__row")
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:

@@ -4,33 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import ascii_lower, numbered, set_aside
+from tidemark.llm.common import FILTER_BITS, ascii_lower, keyed, may_repeat, set_aside, without
 from tidemark.session import cut
 
-#: Bits of the filter that carries the repeated keys of a level to the scan: 2**23 bits are at most 256 rows of
-#: 4 KB, 1 MB whatever the size of the table. Keys that share a bit cost a needless hash, never a result.
-FILTER_BITS = 23
 PREFIX_CHARS = 64
 
 
-def _slot(keys: list[str], bits: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
-
-
-def may_repeat(rows: DataFrame, keys: list[str], counted: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Adds a boolean: false only where no other row has the same ``keys``. ``counted`` has the rows whose keys count."""
-    repeated = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    slots = repeated.select(_slot(keys, bits).alias("__s"))
-    filled = slots.groupBy(F.bitmap_bucket_number("__s").alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("__s")).alias("__bits"))
-    position = F.bitmap_bit_position(_slot(keys, bits))
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.getbit(byte, F.pmod(position, F.lit(8)).cast("int"))
-    return (rows.withColumn("__bucket", F.bitmap_bucket_number(_slot(keys, bits)))
-            .join(F.broadcast(filled), "__bucket", "left")
-            .withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits"))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None,
                 bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, full_hash, and the ``extra`` columns.
@@ -67,14 +46,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     "full_hash", *(extra or {})))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = FILTER_BITS) -> DataFrame:
     """The rows that stay, with all their columns: one of a group. A row without an id can't be named, so it stays where no
-    row with an id has its text."""
+    row with an id has its text. ``docs`` is read several times; of its texts hardly more are shuffled than those that go."""
     docs, back = set_aside(docs, id_col, text_col)
-    rows = numbered(docs)
-    found = cut(exact_dedup(rows, id_col, text_col, extra={"__row": F.col("__row")})
+    rows = keyed(docs, id_col, bits)
+    found = cut(exact_dedup(rows, id_col, text_col, extra={"__row": F.col("__row")}, bits=bits)
                 .where("group_size > 1").select("__row", "doc_id", "kept", "full_hash"), "copies")
     # rows that repeat the id that stays: the first of them does
     first = found.where("kept AND doc_id IS NOT NULL").groupBy("full_hash").agg(F.min("__row").alias("__row"))
-    gone = found.where("NOT kept OR doc_id IS NOT NULL").join(first, "__row", "left_anti").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns).withColumnsRenamed(back)
+    gone = cut(found.where("NOT kept OR doc_id IS NOT NULL").join(first, "__row", "left_anti").select("__row"), "gone")
+    return without(rows, gone, bits).select(*docs.columns).withColumnsRenamed(back)

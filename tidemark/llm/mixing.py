@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, numbered, running_totals, set_aside
+from tidemark.llm.common import WORD, keyed, running_totals, set_aside
 from tidemark.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -94,11 +94,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     its own, so rows that share an id and rows without one are planned and taken like any other.
     """
     docs, back = set_aside(docs, id_col, text_col, source_col)
-    keyed = numbered(docs)
-    plan = mix(keyed, id_col, text_col, source_col, weights, share, most, row_col="__row").where("taken > 0").select(
+    rows = keyed(docs, id_col)
+    plan = mix(rows, id_col, text_col, source_col, weights, share, most, row_col="__row").where("taken > 0").select(
         "__row", (F.col("copies") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("__whole"),
         F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(0)).alias("__part"))
-    rows = keyed.join(plan, "__row").withColumn(
+    rows = rows.join(plan, "__row").withColumn(
         "__take", F.explode(F.concat(
             F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")),
             F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")))))
