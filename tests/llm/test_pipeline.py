@@ -75,20 +75,45 @@ def written(folder):
     return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
 
 
-def test_stages_write_no_texts_beside_their_rows(spark, tmp_path):
+def test_stages_write_no_texts_beside_their_rows(spark, tmp_path, monkeypatch):
     """Rows are told apart by their ids, so no stage keeps a second copy of all texts, and shuffle files go with the step that made them."""
     rnd = np.random.default_rng(1)
     texts = [" ".join(map(str, rnd.integers(0, 10**9, 1_000))) for _ in range(40)]
     spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts + texts[:4])],
                           "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
-    docs, old = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.checkpoint.dir", None)
+    docs = spark.read.parquet(f"{tmp_path}/docs")
     size = written(tmp_path / "docs")
-    try:
-        for name, stage in corpus_pipeline.STAGES[1:4]:
-            spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/{name}")
-            assert stage(spark, docs, str(tmp_path)).count() >= 40
-            print(f"{name}: {written(tmp_path / name)} of {size} bytes")
-            assert written(tmp_path / name) < size / 2
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        monkeypatch.setattr("tidemark.session.shared_folder", lambda _, name=name: f"{tmp_path}/{name}")
+        assert stage(spark, docs, str(tmp_path)).count() >= 40
+        print(f"{name}: {written(tmp_path / name)} of {size} bytes")
+        assert written(tmp_path / name) < size / 2
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_toxicity_and_near_copies_drop_what_other_stages_keep_in_a_worker(spark):
+    """The ids and automata that a worker keeps for one stage don't stay beside the next."""
+    from tidemark.llm import near_copies, toxicity
+    from tidemark.llm.common import worker_store
+
+    docs = spark.createDataFrame([(1, "some plain words that say nothing", 0), (2, "other words", 1)], "__row long, text string, toxic int").coalesce(1)
+
+    def kept(frame, name):
+        """Whether the store ``name``, filled before the frame's rows in the same process, is still there after them."""
+        seen = {}
+
+        class Rows:
+            dtypes = docs.dtypes
+
+            def mapInArrow(self, run, schema):
+                import pyarrow as pa
+
+                seen["out"] = list(run([pa.RecordBatch.from_pylist(frame)]))
+                return docs.selectExpr("text AS word", "toxic AS yes", "toxic AS no")
+
+        worker_store(name)["x"] = 1
+        near_copies._sets(Rows(), 5, False) if "__row" in frame[0] else toxicity._lexicon(Rows(), 1, 1)
+        return bool(worker_store(name)) and bool(seen["out"])
+
+    assert not kept([{"__row": 1, "text": "some plain words"}], "automata")
+    assert not kept([{"toxic": 1, "text": "some plain words"}], "encoders")

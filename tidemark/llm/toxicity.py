@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import release, ship, worker_store
+from tidemark.llm.common import only_store, release, ship
 
 #: Labelled rows that the lexicon and the weights are fitted on (those with the smallest hash of the id).
 TRAIN_DOCS = 20_000
@@ -158,7 +158,7 @@ class Model:
     @property
     def automaton(self) -> Automaton:
         """The worker's automaton for these terms, with the steps that earlier tasks built."""
-        store = worker_store("automata")
+        store = only_store("automata")
         key = tuple(self.terms)
         if key not in store:
             store.clear()
@@ -186,6 +186,7 @@ def evidence(yes, no, all_yes, all_no) -> Column:
 def _lexicon(sample: DataFrame, all_yes: int, all_no: int) -> tuple[list[tuple[str, bool]], list[float]]:
     """Words and stems that mark the class, and their log odds."""
     def count(batches):
+        only_store("automata")
         yes, no = Counter(), Counter()
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -195,6 +196,8 @@ def _lexicon(sample: DataFrame, all_yes: int, all_no: int) -> tuple[list[tuple[s
             part = words[i:i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([yes[w] for w in part], pa.int64()),
                                               pa.array([no[w] for w in part], pa.int64())], names=["word", "yes", "no"])
+        del yes, no, words
+        release()
 
     words = sample.mapInArrow(count, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     lengths = F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.char_length("word")))
@@ -257,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for batch in batches:
             got = [model.features(t, automaton) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=["toxic", "x"])
+        release()
 
     rows = sample.mapInArrow(seen, "toxic int, x array<double>").toPandas()
     x, y = np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES), rows["toxic"].to_numpy(float)
