@@ -180,3 +180,53 @@ def test_remembered_ratios_are_bounded(monkeypatch):
     for i in range(50):
         ratio(f"{i}x", "x")
     assert len(ratio.__closure__[[c for c in ratio.__code__.co_freevars].index("seen")].cell_contents) <= 5
+
+
+def test_many_ratios_at_once_equal_single_ones():
+    import numpy as np
+
+    rnd = random.Random(12)
+    texts = words(160, 11, "ab", 20) + words(160, 13, "abcdefgé中\U0001f600", 64) + ["", "x" * 64, "x" * 65, "ab" * 150, "".join(rnd.choice("abc") for _ in range(260))]
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size) - size
+    i, j = (np.array([rnd.randrange(len(texts)) for _ in range(5_000)] + list(range(len(texts) - 5, len(texts))) * 5) for _ in "ab")
+    want = [SequenceMatcher(None, texts[x], texts[y]).ratio() for x, y in zip(i, j)]
+    points = np.array([ord(c) for t in texts for c in t])
+    alphabet, ranks = np.unique(points, return_inverse=True)
+    ratios = X.batch_matcher()()
+    assert ratios(points, start[i], size[i], start[j], size[j]).tolist() == want
+    assert ratios(ranks.astype(np.uint8), start[i], size[i], start[j], size[j]).tolist() == want
+
+
+@pytest.mark.parametrize("narrow", [0, 5, 500])
+def test_pairs_of_all_pieces_are_met(spark, monkeypatch, narrow):
+    """Pieces that share a block, hold several or lie within one; texts empty, missing or longer than what is compared in arrays."""
+    for name, value in {"NARROW": narrow, "TILE": 40, "TOGETHER": (16, 4)}.items():
+        monkeypatch.setattr(Z, name, value)
+    rnd = random.Random(14)
+    pools = {"a": words(4, 1), "b": words(40, 2, "abcdefgh中", 9), "c": ["", None, *words(30, 3, "ab", 90)]}
+    rows = [{"row_id": i * 7 % 401, "g": rnd.choice("pppqrs") if i % 9 else f"g{i % 5}", **{c: rnd.choice(pool) for c, pool in pools.items()}} for i in range(400)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g string, a string, b string, c string")
+    got = expanded(Z.candidate_pairs(df, list("abc"), [F.col("g")], 0.62).collect())
+    rows.sort(key=lambda r: r["row_id"])
+    first, want = {}, {}
+    for i, x in enumerate(rows):
+        first.setdefault((x["g"], x["a"], x["b"], x["c"]), i)
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            if x["g"] == y["g"]:
+                late, early = sorted((x, y), key=lambda r: -first[r["g"], r["a"], r["b"], r["c"]])
+                s = sum(SequenceMatcher(None, str(late[c]), str(early[c])).ratio() for c in "abc") / 3
+                if s >= 0.62:
+                    want[x["row_id"], y["row_id"]] = s
+    assert want and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+
+
+def test_a_row_is_copied_once_per_piece_at_most(spark):
+    """The rows that meet are dealt out by pieces of the table, not by combinations of narrow texts."""
+    from tidemark.queries import base as B
+
+    t, reps, texts = Z._folded(B.dirty(spark, "/root/testdata/sf0.01", "medium"), ["id", "name", "age", "salary", "score", "dept", "email"], (), "row_id")
+    met = Z.meeting_pairs(reps, texts, 0.7, "similarity")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "piece" in plan and "cls" not in plan and "stretch" not in plan
