@@ -230,3 +230,20 @@ def test_a_row_is_copied_once_per_piece_at_most(spark):
     met = Z.meeting_pairs(reps, texts, 0.7, "similarity")
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "piece" in plan and "cls" not in plan and "stretch" not in plan
+
+
+@pytest.mark.parametrize("best", [False, True])
+def test_pieces_meet_without_copies_of_their_rows_on_disk(spark, monkeypatch, best):
+    """Nothing is shuffled where pieces meet, so no row is written once per piece."""
+    from tidemark.queries import base as B
+
+    seen = []
+    for name in ("TILE", "PIECE"):
+        monkeypatch.setattr(Z, name, 40)
+    monkeypatch.setattr(Z, "_met", lambda *a, real=Z._met: seen.append(real(*a)) or seen[-1])
+    d = B.dirty(spark, "/root/testdata/sf0.001", "medium")
+    (Z.fuzzy_duplicates if best else Z.candidate_pairs)(d, ["id", "name", "age", "salary", "score", "dept", "email"])
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+    places = [n for n, line in enumerate(plan) if "CartesianProduct" in line]
+    assert places and all(n > places[0] for n, line in enumerate(plan) if "Exchange" in line)
+    assert all("rangepartitioning(" in line for line in plan if "Exchange" in line)
