@@ -247,3 +247,21 @@ def test_pieces_meet_without_copies_of_their_rows_on_disk(spark, monkeypatch, be
     places = [n for n, line in enumerate(plan) if "CartesianProduct" in line]
     assert places and all(n > places[0] for n, line in enumerate(plan) if "Exchange" in line)
     assert all("rangepartitioning(" in line for line in plan if "Exchange" in line)
+
+
+@pytest.mark.parametrize("dear", [0, 10**6])
+def test_products_and_single_pairs_find_the_same(spark, monkeypatch, dear):
+    """Near pairs are looked at singly where they are few and by products of matrices where they are many: either way all are found."""
+    monkeypatch.setattr(Z, "TOGETHER", (16, dear))
+    rnd = random.Random(21)
+    pools = {"a": words(4, 1), "b": words(600, 2, "abcdefgh中", 9), "c": [None, *words(700, 3, "abc", 30)]}
+    rows = [{"row_id": i, "g": 0, **{c: rnd.choice(pool) for c, pool in pools.items()}} for i in range(420)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "row_id long, g int, a string, b string, c string")
+    monkeypatch.setattr(Z, "NARROW", 50)
+    want = brute(rows, list("abc"), "g", 0.55)
+    got = {r.row_id: r.similarity for r in Z.fuzzy_duplicates(df, list("abc"), threshold=0.55).collect()}
+    assert len(want) > 100 and got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    best = {}
+    for (i, _), s in expanded(Z.candidate_pairs(df, list("abc"), threshold=0.55).collect()).items():
+        best[i] = max(best.get(i, 0), s)
+    assert best == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
