@@ -97,3 +97,28 @@ def test_fingerprints_in_a_tree_find_the_candidates():
     assert sorted(found) == [(2 * k + 1, 2 * k) for k in range(pairs)]
     far = sum((majority(sets[2 * k]) ^ majority(sets[2 * k + 1])).bit_count() > 8 for k in range(pairs))
     assert far > pairs / 2 and len(N._links(nodes, sets, 0.8, 8)) == pairs - far
+
+
+def test_links_beyond_the_radius_are_found():
+    """Sets at 0.8 whose fingerprints differ in all 64 bits; and in small sets whatever brute force finds, with no set compared or linked twice."""
+    full, h, g = (1 << 64) - 1, 0x0123456789ABCDEF, 0x5A5AF00F12345678
+    four = np.unique(np.array([h, full ^ h, g, full ^ g], np.uint64))
+    five = np.unique(np.append(four, np.uint64(full)))
+    assert (majority(four) ^ majority(five)).bit_count() == 64 and N._links([7, 9], [four, five], 0.8) == []
+    assert N._every_link([7, 9], [four, five], 0.8) == [(9, 7)]
+    random = np.random.default_rng(4)
+    sets = []
+    for n in [4, 5, 9, 10, 18, 60] * 20:
+        base = random.integers(0, 1 << 64, n, np.uint64)
+        sets += [np.unique(base), np.unique(np.append(base, random.integers(0, 1 << 64, max(1, n // 5), np.uint64))), np.unique(base[1:])]
+    nodes = list(range(len(sets)))
+    pairs = [(a, b) for a in nodes for b in nodes[:a] if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8]
+    for radius in (N.RADIUS, 0):  # with a tree that finds next to nothing as well
+        links, N_links = [], N._links
+        try:
+            N._links = lambda nodes, sets, least: N_links(nodes, sets, least, radius)
+            links = N._every_link(nodes, sets, 0.8)
+        finally:
+            N._links = N_links
+        assert set(map(frozenset, links)) <= set(map(frozenset, pairs))
+        assert linked_groups(links, dict.fromkeys(nodes)) == linked_groups(pairs, dict.fromkeys(nodes))
